@@ -129,9 +129,12 @@ class Chunk:
         return np.flatnonzero(out)
 
     def probes(self) -> None:
-        """Keys of all rolling blocks: 62 bits of hash, then whether the chunk has it twice and as an indexed block."""
+        """Keys of all rolling blocks: 46 bits of hash, then whether the chunk has it twice and as an indexed block.
+
+        So few bits keep the steps between a chunk's keys within four bytes; a chance hit is only one more candidate.
+        """
         self.at = self.fits(self.block)
-        key = rolled(self.words, self.block, Q1)[self.at] >> np.uint64(2) << np.uint64(2)
+        key = rolled(self.words, self.block, Q1)[self.at] >> np.uint64(18) << np.uint64(2)
         own = np.repeat(self.first, self.counts)[self.at]
         anchor = (self.at - own) % self.block == 0
         order = np.argsort(key)
@@ -160,7 +163,8 @@ class Chunk:
 
     def cuts(self) -> np.ndarray:
         """Where in self.keys each range of keys begins; a last entry for the end."""
-        width = -(-(1 << 62) // self.buckets) << 2  # the two flags of a key decide nothing here
+        bits = 48 if self.more is None else 64
+        width = -(-(1 << bits - 2) // self.buckets) << 2  # the two flags of a block's key decide nothing here
         lows = np.array([min(k * width, (1 << 64) - 1) for k in range(self.buckets)], np.uint64)
         return np.append(np.searchsorted(self.keys, lows), len(self.keys))
 
@@ -246,14 +250,14 @@ def replies_of(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: x for s, b, x in zip(*(table.column(c).to_pylist() for c in ("step", "bucket", "bits"))) if s == step}
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 35, chunks_per_partition: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 35, chunks_per_partition: int = 2) -> DataFrame:
     """(row, n_words, n_removed, kept_words, kept_text): ``row`` is the input row as a struct.
 
     ``kept_words`` is the kept words joined by one space (null where the text is null); ``kept_text`` is the text
     with each removed run of words cut out, up to the next kept word, and the text itself where nothing is removed.
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = partitions(spark)
     n_chunks = chunks_per_partition * partitions(spark)
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).cast("int")
     rows = docs.select(chunk.alias("chunk"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
