@@ -173,12 +173,12 @@ def links(fps: DataFrame, max_bits: int = 2, group_cap: int = 2048) -> DataFrame
 
 
 def components(marked: DataFrame, fp_col: str, id_col: str, max_bits: int = 2, group_cap: int = 2048) -> DataFrame:
-    """(fp, component): for each fingerprint in ``marked`` the smallest id that it reaches."""
+    """(fp, root, component): for each fingerprint in ``marked`` the least fingerprint and the smallest id it reaches."""
     least = marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"))
     roots = connected_components(links(least.select("fp"), max_bits, group_cap))
     placed = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = placed.groupBy("root").agg(F.min("least").alias("component"))
-    return placed.join(named, "root").select("fp", "component")
+    return placed.join(named, "root").select("fp", "root", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, group_cap: int = 2048) -> DataFrame:
@@ -198,13 +198,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with a null id are kept only where no row of their component has an id.
     """
-    out = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    fp_col, comp_col = out.columns[len(docs.columns) :]
-    (at,) = fresh(out, "at")
-    heads = out.where(F.col(id_col).eqNullSafe(F.col(comp_col)))
-    # equal ids are repeated rows: few, unless the input repeats one row very often
-    kept = heads.groupBy(F.col(comp_col).alias(at)).agg(*[F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")])
-    return kept.select("row.*")
+    fp_col, row_col = fresh(docs, "fingerprint", "row_number")
+    marked = stored(with_fingerprints(docs, text_col, fp_col, shingle).withColumn(row_col, F.monotonically_increasing_id()), "simhash")
+    of = components(marked, fp_col, id_col, max_bits)
+    slim = marked.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(fp_col).alias("fp"))
+    heads = slim.join(of, "fp").where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("row").alias("row"))
+    return marked.join(heads.select(F.col("row").alias(row_col)), row_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

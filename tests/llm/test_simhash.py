@@ -71,14 +71,14 @@ def test_large_groups_take_the_exact_way_for_the_rest(spark):
 
 
 def test_near_duplicates_keeps_clashing_columns_and_repeated_rows(spark):
-    rows = [(1, "a b c d", "x", 7), (1, "a b c d", "x", 7), (2, "a b c d", None, 8), (None, "a b c d", "y", 9), (None, "q r s t", "z", 1)]
+    rows = [(1, "a b c d", "x", 7), (1, "a b c d", "x", 7), (2, "a b c d", None, 8), (None, "a b c d", "y", 9), (None, "q r s t", "z", 1), (None, "u v w x y", "z", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, fp long")
     out = simhash.near_duplicates(df)
     assert out.columns == ["doc_id", "text", "fingerprint", "fp", "fingerprint_1", "component_id"]
     assert sorted((r.doc_id or 0, r.component_id) for r in out.where("text like 'a%'").collect()) == [(0, 1), (1, 1), (1, 1), (2, 1)]
     kept = simhash.first_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q r s t"), (1, "a b c d")]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q r s t"), (0, "u v w x y"), (1, "a b c d")]
 
 
 def test_empty(spark):
