@@ -153,9 +153,10 @@ def assigned(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col
     placed = rows.withColumn("shard", shard).withColumn("span", span).withColumn("salt", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(salts)).cast("int"))
     cells = placed.groupBy("shard", "span", "salt").count()
     first = F.sum("count").over(W.partitionBy("shard").orderBy("span", "salt")) - F.col("count")
-    cells = cells.select("shard", "span", "salt", first.alias("first"))  # (16 ** digits + shards) * salts rows at most
+    cells = cells.select("shard", "span", "salt", first.alias("first"))
     within = F.row_number().over(W.partitionBy("shard", "span", "salt").orderBy("id", "key"))
-    numbered = placed.withColumn("within", within).join(F.broadcast(cells), ["shard", "span", "salt"])
+    # the rows lie by cell already, so only the cells' counts move for this join
+    numbered = placed.withColumn("within", within).join(cells, ["shard", "span", "salt"])
     return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("within") - 1).cast("long").alias("slot"))
 
 
