@@ -75,8 +75,9 @@ def boilerplate(docs: DataFrame, id_col: str, text_col: str, host_col: str, leas
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), host.alias("host"), lines(F.col(text_col)).alias("own"))
     normal = F.transform("own", lambda x: F.struct(F.xxhash64(ascii_lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).alias("line"), F.size(space_words(x)).alias("n")))
-    # equal lines of a document as one row
+    # two uses follow; the lines are taken apart once
     flat = own.select("id", "th", "host", F.explode(normal).alias("x")).select("id", "th", "host", "x.line", "x.n")
+    flat = stored(flat, "lines")
     seen = flat.select("host", "line", "th").distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
     totals = own.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("all"))
