@@ -16,9 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from geolith import model
 from geolith.functions import geo
-from geolith.operators import build, changes, query, reports, stats
+from geolith.operators import build, changes, query, reports, rings, stats
 from geolith.plans.selector import SelectorError
 from geolith.sinks import formats
 from geolith.sources import library, osm_xml, pbf, poly, settings
@@ -105,7 +104,10 @@ def run_query(spark: SparkSession, args: list[str]) -> str:
     if not 0 <= precision <= 15:
         raise UsageError("precision must be between 0 and 15")
     meta = library.properties(spark, places[0])
-    rows = query.select(library.read(spark, places[0]), text, meta.get("indexed-keys") and list(meta["indexed-keys"]))
+    stored = library.read(spark, places[0])
+    if form in ("geojson", "geojsonl", "wkt", "map") or extra.get("tally") == "area":
+        stored = rings.with_polygons(stored)
+    rows = query.select(stored, text, meta.get("indexed-keys") and list(meta["indexed-keys"]))
     area = options.get("a") or options.get("area")
     box = options.get("b") or options.get("bbox")
     if area:
@@ -190,14 +192,12 @@ def run_check(spark: SparkSession, args: list[str]) -> str:
 
 
 def run_update(spark: SparkSession, args: list[str]) -> str:
-    """Node changes applied to a library's nodes; other features as they are."""
+    """The library's features built again from its raw tables after the changes."""
     path, source, to = needed(parse(args, set())[0], ["library", "changes", "out"], 3)
-    rows = library.read(spark, path)
-    new = changes.apply_to_nodes(rows.where("type = 'N'").select("id", "lon", "lat", "x", "y", "tags"), osm_xml.read_changes(spark, source))
-    up = rows.where("type = 'N'").select("id", "parents")
-    nodes = new.join(up, "id", "left").select(F.lit("N").alias("type"), "id", F.lit("n").alias("kind"), F.lit(False).alias("is_area"), "tags", "x", "y", "lon", "lat", F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"))
-    kept = nodes.where((F.size("tags") > 0) | (F.size("parents") > 0))
-    return f"{library.write(rows.where(~F.col('type').eqNullSafe('N')).unionByName(model.feature_rows(kept)), to, library.properties(spark, path)['guid'])}\n"
+    meta = library.properties(spark, path)
+    raw = changes.apply_all(changes.raw_of(library.read(spark, path)), osm_xml.read_changes(spark, source))
+    f = build.features(raw["nodes"], raw["ways"], raw["way_nodes"], raw["relations"], raw["members"], meta.get("indexed-keys") or settings.Settings().indexed_keys)
+    return f"{library.write(f, to, meta.pop('guid'), meta)}\n"
 
 
 def run_strings(spark: SparkSession, args: list[str]) -> str:

@@ -79,3 +79,33 @@ def added_and_dropped(old: DataFrame, new: DataFrame, key: str = "rel_id") -> Da
     none = F.array().cast("array<struct<type:string,id:bigint>>")
     both = a.join(b, key, "full_outer").select(key, F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
     return both.select(key, F.array_sort(F.array_except("b", "a")).alias("added"), F.array_sort(F.array_except("a", "b")).alias("dropped"))
+
+
+def raw_of(features: DataFrame) -> dict[str, DataFrame]:
+    """The raw tables behind a feature table: nodes (those that are only places of ways too), ways, relations and parts."""
+    own = features.where("not is_missing")
+    ways, rels = own.where("type = 'W'"), own.where("type = 'R'")
+    way_nodes = ways.select(F.col("id").alias("way_id"), F.posexplode("node_ids").alias("p", "node_id")).select("way_id", (F.col("p") + 1).alias("pos"), "node_id")
+    points = own.where("type = 'N'").select("id", "lon", "lat", "x", "y", "tags")
+    places = ways.select(F.explode(F.arrays_zip("node_ids", "coords")).alias("z")).groupBy(F.col("z.node_ids").alias("id")).agg(F.min(F.struct("z.coords.x", "z.coords.y")).alias("c"))
+    bare = places.join(points.select("id"), "id", "left_anti").select("id", geo.lon_of("c.x").alias("lon"), geo.lat_of("c.y").alias("lat"), "c.x", "c.y", F.create_map().cast("map<string,string>").alias("tags"))
+    members = rels.select(F.col("id").alias("rel_id"), F.posexplode("members").alias("p", "m")).select("rel_id", (F.col("p") + 1).alias("pos"), "m.type", "m.id", "m.role")
+    return {"nodes": points.unionByName(bare), "ways": ways.select("id", "tags"), "way_nodes": way_nodes, "relations": rels.select("id", "tags"), "members": members}
+
+
+def apply_all(raw: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+    """The raw tables after ``changes`` (with node_ids and members): built again, features are promoted, demoted,
+    moved and missing as the changes have it."""
+    now = latest(changes)
+    out = {"nodes": apply_to_nodes(raw["nodes"], changes)}
+    for kind, table, parts, key in (("W", "ways", "way_nodes", "way_id"), ("R", "relations", "members", "rel_id")):
+        own = now.where(F.col("type") == kind)
+        kept, ids = own.where("change != 'delete'"), own.select("id")
+        out[table] = raw[table].join(ids, "id", "left_anti").unionByName(kept.select("id", "tags"))
+        rest = raw[parts].join(ids.select(F.col("id").alias(key)), key, "left_anti")
+        if kind == "W":
+            new = kept.select(F.col("id").alias(key), F.posexplode("node_ids").alias("p", "node_id")).select(key, (F.col("p") + 1).alias("pos"), "node_id")
+        else:
+            new = kept.select(F.col("id").alias(key), F.posexplode("members").alias("p", "m")).select(key, (F.col("p") + 1).alias("pos"), "m.type", "m.id", "m.role")
+        out[parts] = rest.unionByName(new)
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geolith.functions import geo, text
 from geolith.functions import tags as T
 from geolith.operators.query import Columns
+from geolith.operators.rings import polygons_area_m2
 
 MODES = ("count", "length", "area", "roles", "keys", "tags")
 
@@ -30,11 +31,16 @@ class CutOff:
         return cls(0.0, number) if is_share else cls(number, 0.0)
 
 
-def measure(mode: str, unit: str = "m") -> Column:
-    """What a feature adds to a tally.  Areas and points have no length; only areas have an area."""
+def measure(mode: str, unit: str = "m", assembled: bool = False) -> Column:
+    """What a feature adds to a tally.  Areas and points have no length; only areas have an area.
+
+    ``assembled``: features have ``polygons``, so that relations have an area too.
+    """
     per_m, per_m2, _, _ = geo.UNITS[unit]
     if mode == "length":
         return F.when(F.col("kind") == "w", geo.length_m("coords") * per_m).otherwise(F.lit(0.0))
+    if mode == "area" and assembled:
+        return F.coalesce(polygons_area_m2() * per_m2, F.lit(0.0))
     if mode == "area":
         return F.when(F.col("is_area") & F.col("coords").isNotNull(), geo.area_m2("coords") * per_m2).otherwise(F.lit(0.0))
     return F.lit(1.0)
@@ -57,7 +63,7 @@ def tally(features: DataFrame, mode: str = "count", columns: str = "*", unit: st
     number of rows left out as g0.
     """
     cut = cut or CutOff()
-    own = features.withColumn("m", measure(mode, unit))
+    own = features.withColumn("m", measure(mode, unit, "polygons" in features.columns))
     exploded, names = group_columns(own, columns, split)
     rows = exploded.groupBy(*names).agg(F.sum("m").alias("tally"))
     total = own.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("total"))

@@ -55,8 +55,30 @@ def line_text(coords: Column, precision: int, separator: str, before: str, after
     return F.array_join(F.transform(coords, lambda c: F.concat(F.lit(before), point_text(c["x"], c["y"], precision, separator), F.lit(after))), between)
 
 
-def geojson_geometry(precision: int = 7) -> Column:
-    """Point, LineString, Polygon; relations without coordinates get their box as a Polygon, or an empty collection."""
+def rings_text(polygon: Column, precision: int) -> Column:
+    return F.array_join(F.transform(polygon, lambda ring: F.concat(F.lit("["), line_text(ring, precision, ",", "[", "]", ","), F.lit("]"))), ",")
+
+
+def geojson_polygons(precision: int) -> Column:
+    """Polygon or MultiPolygon of ``polygons``; null where there are none."""
+    p = F.col("polygons")
+    one = F.concat(F.lit('{"type":"Polygon","coordinates":['), rings_text(F.try_element_at(p, F.lit(1)), precision), F.lit("]}"))
+    many = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.array_join(F.transform(p, lambda x: F.concat(F.lit("["), rings_text(x, precision), F.lit("]"))), ","), F.lit("]}"))
+    return F.when(F.size(p) == 1, one).when(F.size(p) > 1, many)
+
+
+def wkt_polygons(part) -> Column:
+    p = F.col("polygons")
+
+    def body(polygon: Column) -> Column:
+        return F.concat(F.lit("("), F.array_join(F.transform(polygon, lambda ring: F.concat(F.lit("("), part(ring), F.lit(")"))), ", "), F.lit(")"))
+
+    one = F.concat(F.lit("POLYGON "), body(F.try_element_at(p, F.lit(1))))
+    return F.when(F.size(p) == 1, one).when(F.size(p) > 1, F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(p, body), ", "), F.lit(")")))
+
+
+def geojson_geometry(precision: int = 7, assembled: bool = False) -> Column:
+    """Point, LineString, Polygon, MultiPolygon; relations without polygons get their box, or an empty collection."""
     point = F.concat(F.lit('{"type":"Point","coordinates":['), point_text(F.col("x"), F.col("y"), precision, ","), F.lit("]}"))
     line = line_text(F.col("coords"), precision, ",", "[", "]", ",")
     way = F.when(F.col("is_area"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), line, F.lit("]]}"))).otherwise(F.concat(F.lit('{"type":"LineString","coordinates":['), line, F.lit("]}")))
@@ -64,7 +86,8 @@ def geojson_geometry(precision: int = 7) -> Column:
     ring = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
     box = F.concat(F.lit('{"type":"Polygon","coordinates":[['), line_text(ring, precision, ",", "[", "]", ","), F.lit("]]}"))
     rest = F.when(b.isNotNull(), box).otherwise(F.lit('{"type":"GeometryCollection","geometries":[]}'))
-    return F.when(F.col("type") == "N", point).when(F.col("coords").isNotNull(), way).otherwise(rest)
+    plain = F.when(F.col("type") == "N", point).when(F.col("coords").isNotNull(), way).otherwise(rest)
+    return F.coalesce(geojson_polygons(precision), plain) if assembled else plain
 
 
 def geojson_lines(features: DataFrame, columns: str | None = None, precision: int = 7) -> DataFrame:
@@ -75,11 +98,11 @@ def geojson_lines(features: DataFrame, columns: str | None = None, precision: in
     box = F.lit("")
     if "bbox" in c.names:
         box = F.coalesce(F.concat(F.lit(',"bbox":['), point_text(b["minx"], b["miny"], precision, ","), F.lit(","), point_text(b["maxx"], b["maxy"], precision, ","), F.lit("]")), F.lit(""))
-    line = F.concat(F.lit('{"type":"Feature","id":"'), F.col("type"), F.col("id").cast("string"), F.lit('"'), box, F.lit(',"geometry":'), geojson_geometry(precision), F.lit(',"properties":{'), own, F.lit("}}"))
+    line = F.concat(F.lit('{"type":"Feature","id":"'), F.col("type"), F.col("id").cast("string"), F.lit('"'), box, F.lit(',"geometry":'), geojson_geometry(precision, "polygons" in features.columns), F.lit(',"properties":{'), own, F.lit("}}"))
     return features.select("type", "id", line.alias("line"))
 
 
-def wkt_text(precision: int = 7, projected: bool = False) -> Column:
+def wkt_text(precision: int = 7, projected: bool = False, assembled: bool = False) -> Column:
     """Degrees, or the projection's own units."""
     def part(coords: Column) -> Column:
         if projected:
@@ -88,11 +111,12 @@ def wkt_text(precision: int = 7, projected: bool = False) -> Column:
 
     point = part(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"))))
     way = F.when(F.col("is_area"), F.concat(F.lit("POLYGON (("), part(F.col("coords")), F.lit("))"))).otherwise(F.concat(F.lit("LINESTRING ("), part(F.col("coords")), F.lit(")")))
-    return F.when(F.col("type") == "N", F.concat(F.lit("POINT ("), point, F.lit(")"))).when(F.col("coords").isNotNull(), way).otherwise(F.lit("GEOMETRYCOLLECTION EMPTY"))
+    plain = F.when(F.col("type") == "N", F.concat(F.lit("POINT ("), point, F.lit(")"))).when(F.col("coords").isNotNull(), way).otherwise(F.lit("GEOMETRYCOLLECTION EMPTY"))
+    return F.coalesce(wkt_polygons(part), plain) if assembled else plain
 
 
 def wkt_lines(features: DataFrame, precision: int = 7, projected: bool = False) -> DataFrame:
-    return features.select("type", "id", wkt_text(precision, projected).alias("line"))
+    return features.select("type", "id", wkt_text(precision, projected, "polygons" in features.columns).alias("line"))
 
 
 def poly_lines(features: DataFrame, precision: int = 7) -> DataFrame:
@@ -218,7 +242,7 @@ def map_page(features: DataFrame, columns: str | None = None, limit: int = 10_00
     tip = F.concat(F.lit("<h3>"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"), F.lit("</h3><pre>"), pre, F.lit("</pre>"))
     url = F.concat(F.lit("https://www.openstreetmap.org/"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"))
     click = F.concat(F.lit('.on("click", function(){window.open("'), url, F.lit('")})')) if link == "osm" else F.lit("")
-    line = F.concat(F.lit("L.geoJSON("), geojson_geometry(), F.lit(f', {{color: "{color}"}}).bindTooltip('), text.json_text(tip), F.lit(")"), click, F.lit(".addTo(all);"))
+    line = F.concat(F.lit("L.geoJSON("), geojson_geometry(7, "polygons" in features.columns), F.lit(f', {{color: "{color}"}}).bindTooltip('), text.json_text(tip), F.lit(")"), click, F.lit(".addTo(all);"))
     rows = features.select(line.alias("line")).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"over {limit} features: a page can't show them")

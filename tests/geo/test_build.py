@@ -186,3 +186,21 @@ def test_library(spark, features, tmp_path):
         library.read(spark, str(tmp_path))
     assert library.check(back).count() == 0
     assert {r.error for r in library.check(back.union(back.where("id = 1")).where("id != 22")).collect()} == {"feature twice", "member without feature", "parent without feature"}
+
+
+def test_whole_update(spark, raw, features):
+    schema = f"change string, type string, id long, version int, {TAGS}, x long, y long, node_ids array<long>, members {model.MEMBERS}"
+    rows = [
+        ("modify", "N", 2, 2, {"amenity": "bench"}, geo.x_at(1), geo.y_at(0), None, None),  # promoted, not moved
+        ("modify", "W", 11, 2, {"highway": "track"}, None, None, [5, 7], None),
+        ("delete", "W", 14, 2, {}, None, None, None, None),
+        ("create", "W", 15, 1, {"building": "yes"}, None, None, [1, 2, 3, 1], None),
+        ("modify", "R", 21, 2, {"route": "tram"}, None, None, None, [("W", 15, "x"), ("W", 14, "y")]),
+    ]
+    new = changes.apply_all(changes.raw_of(features), spark.createDataFrame(rows, schema))
+    got = {(r.type, r.id): r for r in build.features(new["nodes"], new["ways"], new["way_nodes"], new["relations"], new["members"]).collect()}
+    assert got["N", 2].tags == {"amenity": "bench"} and got["N", 2].x == geo.x_at(1)
+    assert got["W", 11].node_ids == [5, 7] and got["W", 11].parents == [] and got["W", 11].coords[1].x == geo.x_at(20)
+    assert got["W", 14].is_missing and got["W", 15].kind == "a" and got["W", 15].parents == [21]
+    assert got["R", 21].tags == {"route": "tram"} and got["R", 21].bbox == got["W", 15].bbox
+    assert got["W", 10].coords == features.where("type = 'W' and id = 10").first().coords
