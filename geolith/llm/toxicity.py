@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Each token is clean (0) or toxic (1).  A token's potential is a sum of weights of hashed features (the word, its
-first 3 to 6 bytes, its last 4); transitions and starts have their own.  Forward-backward gives every token's
+first 4 to 6 bytes, its last 4) that three documents of the fit sample have; transitions and starts have their own.  Forward-backward gives every token's
 marginal; tokens of at least ``span_at`` make the offending spans, and a logistic function of the largest marginal
 and of the expected number of toxic tokens gives the document's score.
 
@@ -10,8 +10,8 @@ more toxic than clean documents have it (log-odds and a likelihood ratio test);
 telling feature are labelled 1, all others 0, and toxic documents without such a token are left out of the field's
 fit (not of the score's).
 
-The fit takes a bounded sample: of each class up to ``max_fit_docs`` labelled rows in hash order, each of up to
-``max_fit_bytes`` bytes.  Scoring takes every whole text.  Nothing but the text goes into a score.
+The fit takes a bounded sample: up to ``max_fit_docs`` toxic and twice as many clean labelled rows in hash order, each
+of up to ``max_fit_bytes`` bytes, less copies.  Scoring takes every whole text.  Nothing but the text goes into a score.
 
 Null, empty and wordless texts have no tokens and score what the fit gives for none.  Labels with a null id or
 class are left out; an id labelled more than once is toxic if any of its labels is.  With no labels of a class, or
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
-from .substring_dedup import BLOCK_BYTES, P, inverse, mix, powers
+from .substring_dedup import BLOCK_BYTES, P, inverse, mix, powers, rolled
 
 BUCKETS = 1 << 18
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 SUFFIX = 4
 STEP = 64  # tokens of a segment
+PART = 100_000  # tokens of a part of the fit sample
 
 LETTER = np.zeros(256, np.uint64)
 LETTER[128:] = np.arange(128, 256)
@@ -47,7 +48,10 @@ IS_WORD = (LETTER > 0).astype(np.int8)
 
 @dataclass
 class Model:
+    """weights and checks by slot: a feature counts if its slot holds its own check."""
+
     weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    checks: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.uint32))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     score: np.ndarray = field(default_factory=lambda: np.zeros(3))
@@ -56,7 +60,7 @@ class Model:
 
 @dataclass
 class Tokens:
-    """Of some texts in a row: the features of each token, its bytes, and the first and the end token of each text."""
+    """Of some texts in a row: the feature hashes of each token (0: it has none such), its bytes, and the first and the end token of each text."""
 
     features: np.ndarray
     begins: np.ndarray
@@ -76,16 +80,41 @@ def tokens(texts: list[bytes]) -> Tokens:
     size = ends - begins
 
     def part(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-        return (mix((total[b] - total[a]) * back[a] + np.uint64(salt)) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+        return mix((total[b] - total[a]) * back[a] + np.uint64(salt)) | np.uint64(1)
 
     columns = [part(begins, ends, 1)]
     for k in PREFIXES:
-        columns.append(np.where(size >= k, part(begins, np.minimum(begins + k, ends), 10 + k), 0))
-    columns.append(np.where(size >= SUFFIX, part(np.maximum(ends - SUFFIX, begins), ends, 30), 0))
+        columns.append(np.where(size >= k, part(begins, np.minimum(begins + k, ends), 10 + k), np.uint64(0)))
+    columns.append(np.where(size >= SUFFIX, part(np.maximum(ends - SUFFIX, begins), ends, 30), np.uint64(0)))
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     cuts = np.searchsorted(begins, bounds)
     shift = np.repeat(bounds[:-1], np.diff(cuts))
-    return Tokens(np.stack(columns, 1) if len(begins) else np.zeros((0, 2 + len(PREFIXES)), np.int32), begins - shift, ends - shift, cuts[:-1], cuts[1:])
+    return Tokens(np.stack(columns, 1) if len(begins) else np.zeros((0, 2 + len(PREFIXES)), np.uint64), begins - shift, ends - shift, cuts[:-1], cuts[1:])
+
+
+def slots(features: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The slot of each feature; 0 for those that the model does not know."""
+    at = (features % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+    return np.where((checks[at] == (features >> np.uint64(32)).astype(np.uint32)) & (features != 0), at, 0)
+
+
+def known_features(features: np.ndarray, kind: np.ndarray, doc: np.ndarray, width: int, least_docs: int = 3) -> np.ndarray:
+    """Checks for the features that ``least_docs`` documents or more have; of two in one slot the more frequent stays."""
+    pairs = np.unique(kind.astype(np.int64) * width + doc)
+    k, d = pairs // width, pairs % width
+    found, often = [], []
+    for column in features.T:
+        values, at = np.unique(column, return_inverse=True)
+        seen = np.unique(at[k].astype(np.int64) * width + d) // width
+        n = np.bincount(seen, minlength=len(values))
+        ok = (n >= least_docs) & (values != 0)
+        found.append(values[ok])
+        often.append(n[ok])
+    values, n = np.concatenate(found), np.concatenate(often)
+    values = values[np.argsort(n, kind="stable")]
+    checks = np.zeros(BUCKETS, np.uint32)
+    checks[(values % np.uint64(BUCKETS - 1)).astype(np.int32) + 1] = (values >> np.uint64(32)).astype(np.uint32)
+    return checks
 
 
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -175,13 +204,20 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, last: np.ndarray,
     return marginal, joint.sum(axis=1).reshape(2, 2)
 
 
-def telling(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which features far more toxic than clean documents have."""
+def telling(kind_features: np.ndarray, kind: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which features far more toxic than clean documents have.
+
+    kind_features: the features of each kind of token; kind, doc: of each token.
+    """
     width = np.int64(len(toxic))
-    seen = np.unique(features.astype(np.int64).ravel() * width + np.repeat(doc, features.shape[1]))
-    f, d = seen // width, seen % width
-    t = np.bincount(f[toxic[d]], minlength=BUCKETS).astype(float)
-    c = np.bincount(f[~toxic[d]], minlength=BUCKETS).astype(float)
+    pairs = np.unique(kind.astype(np.int64) * width + doc)
+    k, d = pairs // width, pairs % width
+    t, c = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for column in kind_features.T:  # one sort of a column at a time bounds the memory
+        seen = np.unique(column[k].astype(np.int64) * width + d)
+        f, bad = seen // width, toxic[seen % width]
+        t += np.bincount(f[bad], minlength=BUCKETS)
+        c += np.bincount(f[~bad], minlength=BUCKETS)
     nt, nc = float(toxic.sum()), float((~toxic).sum())
     odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
     share = nt / (nt + nc)
@@ -192,59 +228,108 @@ def telling(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndar
     return out
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Model:
-    """A model from whole texts and their labels.  weight: what a clean and a toxic text stand for in the score."""
+def originals(texts: list[bytes], window: int = 5) -> list[int]:
+    """The first of each group of copies and near copies: texts that share none of four least hashes of their word
+    windows with one before.  Copies of one toxic text would make all its words telling."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for k, raw in enumerate(texts):
+        words = tokens([raw]).features[:, 0]
+        grams = rolled(words, window, P) if len(words) >= window else mix(words)
+        least = {(j, int(mix(grams + np.uint64(j)).min())) for j in range(4)} if len(grams) else {(0, 0)}
+        if not least & seen:
+            out.append(k)
+        seen |= least
+    return out
+
+
+def kinds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each kind of token, kind of each token, first and end token of each text)."""
+    width = 2 + len(PREFIXES)
+    keys, firsts, lasts, own_keys, own_features, base = [], [], [], [], [], 0
+    for a, b in blocks(texts):
+        x = tokens(texts[a:b])
+        key = np.zeros(len(x.features), np.uint64)
+        for column in x.features.T:
+            key = mix(key * P + column)
+        keys.append(key)
+        firsts.append(x.first + base)
+        lasts.append(x.last + base)
+        base += len(key)
+        at = np.unique(key, return_index=True)[1]
+        own_keys.append(key[at])
+        own_features.append(x.features[at])
+    some = np.concatenate(own_keys) if own_keys else np.empty(0, np.uint64)
+    order, at = np.unique(some, return_index=True)
+    features = np.concatenate(own_features)[at] if own_features else np.zeros((0, width), np.uint64)
+    kind = np.concatenate([np.searchsorted(order, k).astype(np.int32) for k in keys]) if keys else np.empty(0, np.int32)
+    return features, kind, np.concatenate(firsts) if firsts else np.empty(0, int), np.concatenate(lasts) if lasts else np.empty(0, int)
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), rounds: int = 30, rate: float = 0.5, ridge: float = 1e-6) -> Model:
+    """A model from whole texts and their labels, by gradient steps on the field's likelihood.
+
+    weight: what a clean and a toxic text stand for in the score.
+    """
     if not len(texts) or toxic.all() or not toxic.any():
         return Model(constant=float(toxic.mean()) if len(texts) else 0.0)
-    made = [tokens(texts[a:b]) for a, b in blocks(texts)]
-    features = np.concatenate([x.features for x in made])
-    base = np.cumsum([0, *[len(x.features) for x in made]])[:-1]
-    first, last = (np.concatenate([getattr(x, k) + s for x, s in zip(made, base)]) for k in ("first", "last"))
-    doc = np.repeat(np.arange(len(texts)), last - first)
-    label = telling(features, doc, toxic)[features].any(axis=1) & toxic[doc]
+    own = originals(texts)
+    weight = tuple(w * (toxic == t).sum() / max(1, (toxic[own] == t).sum()) for t, w in enumerate(weight))
+    texts, toxic = [texts[k] for k in own], toxic[own]
+    features, kind, first, last = kinds_of(texts)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), last - first)
+    checks = known_features(features, kind, doc, len(texts))
+    features = slots(features, checks)
+    label = telling(features, kind, doc, toxic)[features].any(axis=1)[kind] & toxic[doc]
     used = ~toxic
     used[doc[label]] = True
-    on = used[doc]
-    kinds, of = np.unique(features[:, 0].astype(np.int64) << 32 | features[:, -2].astype(np.int64) << 16 ^ features[:, -1].astype(np.int64), return_inverse=True)
-    example = np.zeros(len(kinds), np.int64)
-    example[of] = np.arange(len(of))
-    kind_features = features[example]
-    model = Model(constant=None)
+    parts, size = [[]], 0  # of whole texts, so many tokens together that messages stay small
+    for k in np.flatnonzero(used & (last > first)):
+        if size > PART:
+            parts.append([])
+            size = 0
+        parts[-1].append(k)
+        size += last[k] - first[k]
+    made = []
+    for own in parts:
+        n = (last - first)[own]
+        ends = np.cumsum(n)
+        at = np.concatenate([np.arange(first[k], last[k]) for k in own]) if own else np.empty(0, int)
+        made.append((kind[at], label[at], ends - n, ends))
+    total = sum(len(k) for k, _, _, _ in made)
+    ones = sum(int(y.sum()) for _, y, _, _ in made)
+    bias = np.log((ones + 1) / (total - ones + 1))
+    model = Model(constant=None, checks=checks, start=np.array([0.0, bias]), step=np.array([[0.0, bias], [0.0, bias]]))
     w = np.zeros(BUCKETS)
     w_sum, b_sum, s_sum = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6), np.full(2, 1e-6)
-    begin, end = first[used], last[used]
-    order = np.flatnonzero(on)
-    shift = np.cumsum(end - begin) - (end - begin)
-    y = label[order].astype(float)
-    inner = np.ones(len(order), bool)
-    some = end > begin
-    inner[shift[some]] = False
-    at = np.flatnonzero(inner)
-    pair_counts = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2)
-    start_counts = np.bincount(y[shift[some]].astype(int), minlength=2)
-    bias = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
-    w[0] = 0.0
-    model.start = np.array([0.0, bias])
-    model.step = np.array([[0.0, bias], [0.0, bias]])
-    n = max(1, len(order))
     for _ in range(rounds):
-        w[0] = 0.0
-        emission = w[kind_features].sum(axis=1)[of][order]
-        g, joint = forward_backward(emission, shift, shift + (end - begin), model.start, model.step, True)
-        per_kind = np.bincount(of[order], weights=y - g, minlength=len(kinds))
-        grad = np.bincount(kind_features.ravel(), weights=np.repeat(per_kind, kind_features.shape[1]), minlength=BUCKETS) - ridge * n * 1e-2 * w
-        w_sum += grad * grad
-        w += rate * grad / np.sqrt(w_sum)
-        grad = pair_counts - joint
-        b_sum += grad * grad
-        model.step = model.step + 0.2 * rate * grad / np.sqrt(b_sum)
-        grad = start_counts - np.array([(1 - g[shift[some]]).sum(), g[shift[some]].sum()])
-        s_sum += grad * grad
-        model.start = model.start + 0.2 * rate * grad / np.sqrt(s_sum)
-    w[0] = 0.0
+        per_kind, b_grad, s_grad = np.zeros(len(features)), np.zeros((2, 2)), np.zeros(2)
+        emission = w[features].sum(axis=1)
+        for own, y, begin, end in made:
+            if not len(own):
+                continue
+            g, joint = forward_backward(emission[own], begin, end, model.start, model.step, True)
+            per_kind += np.bincount(own, weights=y - g, minlength=len(features))
+            inner = np.ones(len(own), bool)
+            inner[begin] = False
+            at = np.flatnonzero(inner)
+            b_grad += np.bincount(2 * y[at - 1].astype(int) + y[at], minlength=4).reshape(2, 2) - joint
+            s_grad += np.array([-1, 1]) * (y[begin] - g[begin]).sum()
+        grad = -ridge * total * w
+        for column in features.T:
+            grad += np.bincount(column, weights=per_kind, minlength=BUCKETS)
+        grad[0] = 0.0
+        for value, g, seen, speed in ((w, grad, w_sum, rate), (model.step, b_grad, b_sum, 0.2 * rate), (model.start, s_grad, s_sum, 0.2 * rate)):
+            seen += g * g
+            value += speed * g / np.sqrt(seen)
     model.weights = w.astype(np.float32)
-    marginal, _ = forward_backward(w[kind_features].sum(axis=1)[of], first, last, model.start, model.step)
-    model.score = logistic(summary(marginal, first, last), toxic.astype(float), np.where(toxic, weight[1], weight[0]))
+    emission = w[features].sum(axis=1)
+    rows = []
+    for a in range(0, len(texts), 200):
+        b = min(a + 200, len(texts))
+        g, _ = forward_backward(emission[kind[first[a] : last[b - 1]]], first[a:b] - first[a], last[a:b] - first[a], model.start, model.step)
+        rows.append(summary(g, first[a:b] - first[a], last[a:b] - first[a]))
+    model.score = logistic(np.concatenate(rows), toxic.astype(float), np.where(toxic, weight[1], weight[0]))
     return model
 
 
@@ -278,7 +363,7 @@ def apply(model: Model, texts: list[bytes], span_at: float = 0.5) -> tuple[np.nd
     scores, spans = [], []
     for a, b in blocks(texts):
         x = tokens(texts[a:b])
-        e = model.weights[x.features].sum(axis=1, dtype=np.float64) if len(x.features) else np.zeros(0)
+        e = model.weights[slots(x.features, model.checks)].sum(axis=1, dtype=np.float64)
         g, _ = forward_backward(e, x.first, x.last, model.start, model.step)
         scores.append(1 / (1 + np.exp(-np.clip(summary(g, x.first, x.last) @ model.score, -30, 30))))
         hits = np.flatnonzero(g >= span_at)
@@ -302,19 +387,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_docs: int = 2000, max_fit_bytes: int = 20_000) -> Model:
+def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_docs: int = 1000, max_fit_bytes: int = 20_000) -> Model:
     """A model fit on a bounded sample of the labelled rows that are not held out."""
+    most = {0: 2 * max_fit_docs, 1: max_fit_docs}
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     own = own.where(~held_out("id")).groupBy("id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
     total = dict(own.groupBy("y").count().collect())
     # twice what is needed, for ids without a document and texts over the bound
-    some = [r for y in (0, 1) for r in own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * max_fit_docs).collect()]
+    some = [r for y in (0, 1) for r in own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * most[y]).collect()]
     if not some:
         return fit([], np.zeros(0, bool))
     chosen = docs.sparkSession.createDataFrame(some, own.schema)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= max_fit_bytes)
     found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("rank", F.xxhash64("id"))
-    rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("rank", "id").limit(max_fit_docs).collect()]
+    rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("rank", "id").limit(most[y]).collect()]
     toxic = np.array([r.y == 1 for r in rows], bool)
     weight = tuple(total.get(y, 0) / max(1, int((toxic == bool(y)).sum())) for y in (0, 1))
     return fit([r.text.encode() for r in rows], toxic, weight)
