@@ -6,7 +6,7 @@ at each place the matches that end there (the automaton's output links) relax th
 first, and a tie keeps the first.  A character that is no piece by itself may also stand alone: that costs ``unknown_cost`` more than the
 worst piece, and it becomes its UTF-8 bytes as byte pieces, or the unknown piece where the vocabulary has no byte pieces.
 
-The text is cut where no piece can cross: before a run of space marks and around characters that only pieces of
+The text is cut where no piece can cross: before a run of space marks and around control characters that only pieces of
 their own hold.  Best scores add up over such cuts, so segments are solved one by one, and a bounded table keeps
 the segments seen.
 
@@ -20,6 +20,7 @@ and added ones take other names where they clash.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,9 @@ from .common import fresh
 MARK = "▁"
 #: The vocabulary that the registered query takes; any other path goes as well.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TABLE_SIZE = 200_000
+TABLE_SIZE = 150_000
+#: Rows that are encoded or decoded before they are handed on.
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -76,9 +79,11 @@ class Codec:
         joined = {c for p, _ in own if len(p) > 1 for c in p}
         alone = "".join(c for c in map(chr, range(32)) if c not in joined)
         crossing = any(MARK in p.lstrip(MARK) for p, _ in own)
-        cut = f"[{re.escape(alone)}]|" if alone else ""
-        self.segment = re.compile(r"(?s).+" if crossing else f"{cut}{MARK}+[^{MARK}{re.escape(alone)}]*|[^{MARK}{re.escape(alone)}]+")
+        own_cut = re.escape(alone)
+        cut = f"[{own_cut}]|" if alone else ""
+        self.segment = re.compile(r"(?s).+" if crossing else f"{cut}{MARK}+[^{MARK}{own_cut}]*|[^{MARK}{own_cut}]+")
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         raw = [bytes([self.byte_of(i)]) if i in set(v.byte_ids) else p.replace(MARK, " ").encode() if v.plain[i] else b"" for i, p in enumerate(v.pieces)]
         self.length = np.array([len(x) for x in raw], np.int64)
         self.begin = np.cumsum(self.length) - self.length
@@ -90,6 +95,18 @@ class Codec:
     def best(self, text: str) -> list[int]:
         """The best segmentation of one segment."""
         n = len(text)
+        if self.single.issuperset(text):  # every place is reached by a match: no character stands alone
+            score, via = [0.0] + [-np.inf] * n, [None] * (n + 1)
+            for end, match in self.automaton.iter(text):
+                s = score[end + 1 - match[0]] + match[1]
+                if s > score[end + 1]:
+                    score[end + 1], via[end + 1] = s, match
+            out, at = [], n
+            while at:
+                length, _, i = via[at]
+                out.append(i)
+                at -= length
+            return out[::-1]
         score, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
         matches = self.automaton.iter(text)
         item = next(matches, None)
@@ -131,14 +148,15 @@ class Codec:
         return np.frombuffer(b"".join(parts), np.int32)
 
     def pieces(self, text: str) -> list[bytes]:
-        table, out = self.table, []
+        out, table = [], self.table
         for s in self.segment.findall(text):
             ids = table.get(s)
             if ids is None:
-                ids = np.array(self.best(s), np.int32).tobytes()
+                ids = self.older.get(s) or array("i", self.best(s)).tobytes()
                 if len(s) < 64:
-                    if len(table) >= TABLE_SIZE:
-                        table.clear()
+                    if len(table) >= TABLE_SIZE:  # what was used since the last turn stays for one more
+                        self.older, self.table = table, {}
+                        table = self.table
                     table[s] = ids
             out.append(ids)
         return out
@@ -161,13 +179,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [None if t is None else codec.encode(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids)], names=[*batch.schema.names, ids_col])
 
     return docs.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def lists(rows: list[np.ndarray | None]) -> pa.ListArray:
     ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]]).astype(np.int32)
     own = [r for r in rows if r is not None]
@@ -183,7 +207,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if not x.is_valid else codec.decode(x.values.drop_null().to_numpy()).decode("utf-8", "replace") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
