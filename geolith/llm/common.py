@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LIBC = ctypes.CDLL(None)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,6 +76,13 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Memory that a Python worker holds but does not use, returned to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(LIBC, "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

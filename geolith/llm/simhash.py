@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, fresh, stored
+from .common import connected_components, fresh, give_back, stored
 
 SEED = 42
 BLOCK = 1 << 16
@@ -63,6 +63,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, fp_col: str, shingle: int
             texts = batch.column(at).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), "<u8", batch.num_rows).view("<i8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, fp_col])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

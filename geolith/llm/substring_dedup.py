@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import give_back, partitions
 
 P, Q1, Q2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F))
 #: Bytes that are hashed together, unless one text is longer.
@@ -241,6 +241,7 @@ def second_replies(table: pa.Table) -> pa.Table:
 def answered(table: pa.Table, chunks: list, lists: list, order: np.ndarray, good: np.ndarray, step: int) -> pa.Table:
     mask = np.empty(len(order), bool)
     mask[order] = good
+    give_back()
     bucket = table.column("bucket")[0].as_py()
     parts = np.split(mask, np.cumsum([len(x) for x in lists])[:-1])
     return arrow([(c, step, bucket, np.packbits(m).tobytes()) for c, m in zip(chunks, parts) if m.any()], REPLY)
@@ -250,7 +251,7 @@ def replies_of(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: x for s, b, x in zip(*(table.column(c).to_pylist() for c in ("step", "bucket", "bits"))) if s == step}
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 35, chunks_per_partition: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 35, chunks_per_partition: int = 3) -> DataFrame:
     """(row, n_words, n_removed, kept_words, kept_text): ``row`` is the input row as a struct.
 
     ``kept_words`` is the kept words joined by one space (null where the text is null); ``kept_text`` is the text
@@ -272,6 +273,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             a, b = cuts[k], cuts[k + 1]
             extra = c.more[a:b].astype("<u4").tobytes() + np.packbits(c.twice[a:b]).tobytes() if c.more is not None else None
             out.append((int(k), chunk, packed(c.keys[a:b]), extra))
+        give_back()
         return arrow(out, SENT)
 
     def probe(key: tuple, table: pa.Table) -> pa.Table:
@@ -297,6 +299,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             c.probes()
             c.candidates(c.hits(replies_of(replies, 1)))
             gone = c.covered(c.hits(replies_of(replies, 2)))
+        counts, c.words = c.counts, None
+        give_back()
         removed, words, whole = [], [], []
         for raw, a, b in zip(own_texts, c.first.tolist(), c.ends.tolist()):
             own = gone[a:b] if gone is not None else None
@@ -311,7 +315,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             else:
                 words.append(b" ".join(w for w, x in zip(raw.split(), own.tolist()) if not x))
                 whole.append(without(raw, own))
-        return pa.table([table.column("row"), pa.array(c.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(whole, pa.binary()).cast(pa.string())], names=["row", "n_words", "n_removed", "kept_words", "kept_text"])
+        return pa.table([table.column("row"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(whole, pa.binary()).cast(pa.string())], names=["row", "n_words", "n_removed", "kept_words", "kept_text"])
 
     first = rows.groupBy("chunk").applyInArrow(probe, SENT).groupBy("bucket").applyInArrow(first_replies, REPLY)
     second = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(second_replies, REPLY)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, give_back
 from .substring_dedup import BLOCK_BYTES, P, inverse, mix, powers, rolled
 
 BUCKETS = 1 << 18
@@ -418,6 +418,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", span_at: float
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             s, spans = apply(model, texts, span_at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names, score_col, spans_col])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
