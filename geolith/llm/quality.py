@@ -97,8 +97,8 @@ def judged(
     min_words: int = 10,
     max_repeat_percent: int = 20,
     least_docs: int = 10,
-    share: float = 0.005,
-    min_left: float = 0.5,
+    share: float = 0.01,
+    min_left: float = 0.3,
 ) -> DataFrame:
     """(id, the base measures, base_failed, n_boilerplate_words, kept), a row for each row of ``docs``."""
     first = base(docs, id_col, text_col, min_words, max_repeat_percent)

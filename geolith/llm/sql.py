@@ -86,7 +86,7 @@ line AS (
   FROM (SELECT r, source, th, unnest(string_split(text, chr(10))) AS x FROM doc) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM line GROUP BY r),
 host AS (SELECT source, count(DISTINCT th) AS n FROM doc GROUP BY source),
-often AS (SELECT l.source, norm FROM line l JOIN host h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, h.n HAVING count(DISTINCT th) > 10 AND count(DISTINCT th) > h.n * 0.005),
+often AS (SELECT l.source, norm FROM line l JOIN host h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, h.n HAVING count(DISTINCT th) > 10 AND count(DISTINCT th) > h.n * 0.01),
 lost AS (SELECT r, sum(n) AS n FROM line l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY r),
 base AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -94,6 +94,6 @@ base AS (
     CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
   FROM doc LEFT JOIN rep ON doc.r = rep.r LEFT JOIN dup ON doc.r = dup.r LEFT JOIN lost ON doc.r = lost.r)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_boilerplate_words >= n_words * 0.5 AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_boilerplate_words >= n_words * 0.3 AS kept
 FROM base
 """

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from geolith.llm import quality
 
 
-def brute(rows, least=10, share=0.005, left=0.5):
+def brute(rows, least=10, share=0.01, left=0.3):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     norm = lambda x: lower(" ".join(word.findall(x)))
