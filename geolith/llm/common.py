@@ -76,6 +76,13 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch: rows of text are long, and both sides of the pipe hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def give_back() -> None:
     """Memory that a Python worker holds but does not use, returned to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()

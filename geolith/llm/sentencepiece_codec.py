@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, give_back, modest_batches
 
 MARK = "▁"
 #: The vocabulary that the registered query takes; any other path goes as well.
@@ -173,6 +173,7 @@ class Codec:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids`` (array of int)."""
+    modest_batches(docs.sparkSession)
     (ids_col,) = fresh(docs, "piece_ids")
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     at = docs.columns.index(text_col)
@@ -190,6 +191,7 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
             yield batch.slice(k, ROWS)
+        give_back()
 
 
 def lists(rows: list[np.ndarray | None]) -> pa.ListArray:
@@ -201,6 +203,7 @@ def lists(rows: list[np.ndarray | None]) -> pa.ListArray:
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids") -> DataFrame:
     """``encoded`` with ``decoded`` (string).  Ids outside the vocabulary raise an error; null in a list is skipped."""
+    modest_batches(encoded.sparkSession)
     (text_col,) = fresh(encoded, "decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
     at = encoded.columns.index(ids_col)

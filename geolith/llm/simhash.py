@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, fresh, give_back, stored
+from .common import connected_components, fresh, give_back, modest_batches, stored
 
 SEED = 42
 BLOCK = 1 << 16
@@ -55,6 +55,7 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, text_col: str, fp_col: str, shingle: int = 3) -> DataFrame:
     """``docs`` with the signed 64-bit fingerprint of ``text_col`` as ``fp_col``."""
+    modest_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(fp_col, T.LongType())])
     at = docs.columns.index(text_col)
 

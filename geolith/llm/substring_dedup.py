@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, partitions
+from .common import give_back, modest_batches, partitions
 
 P, Q1, Q2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F))
 #: Bytes that are hashed together, unless one text is longer.
@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     with each removed run of words cut out, up to the next kept word, and the text itself where nothing is removed.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     buckets = partitions(spark)
     n_chunks = chunks_per_partition * partitions(spark)
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).cast("int")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, give_back
+from .common import fresh, give_back, modest_batches
 from .substring_dedup import BLOCK_BYTES, P, inverse, mix, powers, rolled
 
 BUCKETS = 1 << 18
@@ -408,6 +408,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", span_at: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (double) and ``spans`` (start, end in characters, largest marginal)."""
+    modest_batches(docs.sparkSession)
     score_col, spans_col = fresh(docs, "score", "spans")
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(spans_col, SPANS)])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 #: record_type, record_id, refers_to, target_uri, date and content_type as in the header; block: the record's bytes.
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, block binary"
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
@@ -108,6 +110,7 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
                 rows.append((key, "response", new_id("response", str(key), url or "", digest(raw)), None, url, date, "application/http; msgtype=response", digest(head + raw), digest(raw), head + raw))
             yield batch_of(rows, names, batch.column(0).type)
 
+    modest_batches(pages.sparkSession)
     key = pages.schema[key_col].dataType.simpleString()
     return pages.select(key_col, url_col, html_col).mapInArrow(run, f"`{key_col}` {key}, {RECORD}")
 
