@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) runs of 0-9, a-z and non-ASCII characters.  A window is ``n`` consecutive words of a
 test item; an item of fewer words, but not none, is one window.  The hash set of all windows is broadcast if it
-holds at most ``broadcast_limit`` of them, and joined by a shuffle otherwise.  Every window of every training text
+takes at most ``broadcast_limit`` bytes, and joined by a shuffle otherwise.  Every window of every training text
 is looked up by its 64-bit hash, and a hit is verified on the words themselves.
 
 Null, empty and wordless texts have no words and no hits.  Items with a null id or no words have no windows;
@@ -36,10 +36,12 @@ def test_windows(benchmark: DataFrame, n: int, item_col: str = "item_id", text_c
     return flat.groupBy("gram", "n_gram").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("h", F.xxhash64("gram"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8, broadcast_limit: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8, broadcast_limit: int = 64 << 20) -> DataFrame:
     """(id, th, places, items) of each distinct row of ``docs`` with hits: th is the text's hash, places the words hit."""
-    grams = stored(test_windows(benchmark, n, text_col="text"), "test-windows")
-    small = grams.count() <= broadcast_limit
+    grams = stored(test_windows(benchmark, n), "test-windows")
+    # hash, words and pointers of a window, and 20 bytes for each of its items
+    size = grams.agg(F.coalesce(F.sum(64 + F.octet_length("gram") + 20 * F.size("items")), F.lit(0))).first()[0]
+    small = size <= broadcast_limit
     sizes = [r[0] for r in grams.select("n_gram").distinct().collect()]  # n values at most
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), alnum_words(F.col(text_col)).alias("w"))
     found = None
