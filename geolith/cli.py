@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import geo
+from geolith.functions import tags as T
 from geolith.operators import build, changes, query, reports, rings, stats
 from geolith.plans.selector import SelectorError
 from geolith.sinks import formats
@@ -70,10 +71,10 @@ def run_build(spark: SparkSession, args: list[str]) -> str:
     for name, value in options.items():
         own.set({"u": "updatable"}.get(name, name), value or "")
     raw = pbf.frames(spark, source) if source.endswith(".pbf") else osm_xml.read(spark, source)
+    if own.excluded_keys:
+        raw = {k: df.withColumn("tags", T.without("tags", list(own.excluded_keys))) if "tags" in df.columns else df for k, df in raw.items()}
     check = own.tag_duplicate_nodes or own.tag_orphan_nodes
     f = build.features(raw["nodes"], raw["ways"], raw["way_nodes"], raw["relations"], raw["members"], own.indexed_keys, check)
-    if own.excluded_keys:
-        f = f.withColumn("tags", F.map_filter("tags", lambda k, v: ~k.isin(list(own.excluded_keys))))
     guid = library.write(f, path, extra={"indexed-keys": list(own.indexed_keys), "properties": own.properties, "source": own.source})
     return f"{guid}\n"
 

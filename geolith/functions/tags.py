@@ -118,3 +118,16 @@ def pairs(tags: Column | str) -> Column:
     """``k=v`` in order of keys, comma-joined."""
     t = F.col(tags) if isinstance(tags, str) else tags
     return F.array_join(F.transform(F.array_sort(F.map_entries(t)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+def without(tags: Column | str, patterns: list[str]) -> Column:
+    """Tags less the keys that a pattern names; ``*`` at a pattern's end takes any rest."""
+    t = F.col(tags) if isinstance(tags, str) else tags
+
+    def named(key: Column) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | (key.startswith(p[:-1]) if p.endswith("*") else key == p)
+        return out
+
+    return F.map_filter(t, lambda k, v: ~named(k))

@@ -66,3 +66,14 @@ def feature_rows(df: DataFrame, indexed=T.INDEXED_KEYS, zoom: int = TILE_ZOOM) -
 
 def kind_of(type_: Column, is_area: Column) -> Column:
     return F.when(type_ == "N", "n").when(is_area, "a").when(type_ == "W", "w").otherwise("r")
+
+
+def typed_id(type_: Column, id_: Column) -> Column:
+    """Type and id as one number: the type in the two lowest bits."""
+    return F.shiftleft(id_, 2).bitwiseOR(F.when(type_ == "N", 0).when(type_ == "W", 1).otherwise(2))
+
+
+def type_and_id(typed: Column) -> Column:
+    """struct(type, id) of a typed id."""
+    low = typed.bitwiseAND(F.lit(3))
+    return F.struct(F.when(low == 0, "N").when(low == 1, "W").otherwise("R").alias("type"), F.shiftright(typed, 2).alias("id"))
