@@ -23,7 +23,6 @@ repeat.  An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
