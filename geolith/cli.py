@@ -136,16 +136,16 @@ def run_stats(rows, columns: str | None, extra: dict) -> str:
     split, lexical = "split-values" in extra, "sort" in extra
     width = int(extra.get("max-width") or 100)
     if mode in ("keys", "tags"):
-        out = stats.ordered(stats.keys(rows, columns or "*", cut), mode, lexical).limit(100_000).collect()
+        out = stats.ordered(stats.keys(rows, columns or "*", cut), mode, lexical).collect()
         shown = [(r["key"] if r["value"] is None or mode == "tags" else "", r["value"] if r["value"] is not None else "*", r["tally"], r["of_key"], r["of_all"]) for r in out]
         return formats.table_text(shown, ["Key", "Value", "Count", "/key", "/count"], width)
     names = query.Columns(columns).names
     if mode == "roles":
-        out = stats.ordered(stats.roles(rows, columns or "*", split, cut), mode, lexical).limit(100_000).collect()
+        out = stats.ordered(stats.roles(rows, columns or "*", split, cut), mode, lexical).collect()
         header = [*names, "Role", "Members", "Relations", "Share"]
         body = [(*[r[f"g{k}"] for k in range(len(names))], r["role"], r["tally"], r["relations"], r["share"]) for r in out]
     else:
-        out = stats.ordered(stats.tally(rows, mode, columns or "*", extra.get("unit") or "m", split, cut), mode, lexical).limit(100_000).collect()
+        out = stats.ordered(stats.tally(rows, mode, columns or "*", extra.get("unit") or "m", split, cut), mode, lexical).collect()
         header = [*names, "Tally", "Share"]
         body = [(*[r[f"g{k}"] for k in range(len(names))], round(r["tally"]), r["share"]) for r in out]
     titles = {"others": "(others)", "total": "Total"}
@@ -163,7 +163,7 @@ def run_info(spark: SparkSession, args: list[str]) -> str:
         body = [tuple(r) for r in reports.index_report(rows).orderBy("kind", F.desc("n"), "key").collect()]
         out += formats.table_text(body, ["Class", "Key", "Features", "Share"])
     if "t" in options:
-        body = [(r["tile"], r["n"]) for r in rows.groupBy("tile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tile").limit(1000).collect()]
+        body = [(r["tile"], r["n"]) for r in rows.groupBy("tile").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tile").collect()]
         out += formats.table_text(body, ["Tile", "Features"])
     return out
 

@@ -208,11 +208,12 @@ def table_text(rows: list[tuple], header: list[str], max_width: int = 100) -> st
     return "\n".join([line(header), "=" * min(max_width, sum(widths) + 2 * (len(widths) - 1)), *map(line, cells)]) + "\n"
 
 
-def feature_table(features: DataFrame, columns: str | None = None, limit: int = 10_000, max_width: int = 100) -> str:
-    """The ID and the columns of each feature; the tags of a wildcard stack in rows of their own."""
+def feature_table(features: DataFrame, columns: str | None = None, limit: int = 0, max_width: int = 100) -> str:
+    """The ID and the columns of each feature, of ``limit`` at most if it is not 0; the tags of a wildcard stack in rows of their own."""
     c = Columns(columns)
     shown = [T.value("tags", n) if "*" not in n and n not in PSEUDO else F.array_join(F.transform(F.map_entries(c.part(n)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n") if "*" in n else c.value(n) for n in c.names]
-    rows = features.select(F.concat("type", F.col("id").cast("string")), *shown).orderBy("type", "id").limit(limit).collect()
+    ordered = features.select(F.concat("type", F.col("id").cast("string")), *shown).orderBy("type", "id")
+    rows = (ordered.limit(limit) if limit else ordered).collect()
     out = []
     for r in rows:
         parts = [(x or "").split("\n") for x in r]

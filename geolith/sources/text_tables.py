@@ -49,9 +49,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(part[0].cast("int").alias("zoom"), part[1].cast("int").alias("col"), part[2].cast("int").alias("row"), F.conv("TIP", 16, 10).cast("long").alias("tip"))
 
 
-def tile_map(tiles: DataFrame, limit: int = 100_000) -> str:
-    """A page that shows the tiles of a set, with their numbers of nodes."""
-    rows = tiles.orderBy("zoom", "col", "row").limit(limit).collect()
+def tile_map(tiles: DataFrame, limit: int = 0) -> str:
+    """A page that shows the tiles of a set, ``limit`` at most if it is not 0, with their numbers of nodes."""
+    ordered = tiles.orderBy("zoom", "col", "row")
+    rows = (ordered.limit(limit) if limit else ordered).collect()
     shapes = []
     for r in rows:
         x0, y0, x1, y1 = geo.tile_bounds(r["zoom"], r["col"], r["row"])
