@@ -30,7 +30,10 @@ RECORD = "record_type string, record_id string, refers_to string, target_uri str
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivative")
 
-DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+#: What may stand in a head; it ends before anything else, as its end tag may be left out.
+IN_HEAD = r"(?:\s+|<!--.*?(?:-->|\Z)|<(title|script|style|noscript|template)\b[^>]*>.*?</\2\s*>|<(?:script|style)\b[^>]*>.*|</?(?:meta|link|base|title|noscript|template)\b[^>]*>)"
+#: Only comments, scripts and styles run to the end of the page; others without an end tag lose the tag alone.
+DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>" + IN_HEAD + r"*+(?:</head\s*>)?|<(noscript|template|svg)\b[^>]*>.*?</\3\s*>")
 BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|main|aside|blockquote|pre|hr|dl|dt|dd|form|figure)\b[^>]*>")
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 BLANK = re.compile(r"[ \t\r\f\v ]+")
