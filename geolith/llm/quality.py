@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bind, space_words, stored
+from .common import ascii_lower, bind, fresh, space_words, stored
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -55,6 +55,10 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(ascii_lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
+
+
 def base(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_repeat_percent: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), text.alias("text"), space_words(F.col(text_col)).alias("w"))
@@ -70,11 +74,11 @@ def base(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_repeat
     return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
-def boilerplate(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, share: float, salts: int = 16) -> DataFrame:
-    """(id, th, n_lost): the words that each document with boilerplate lines loses."""
+def boilerplate_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, share: float, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(id, th, host, line, n, salt) of each line, and (host, line, salt) of boilerplate for every salt."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), host.alias("host"), lines(F.col(text_col)).alias("own"))
-    normal = F.transform("own", lambda x: F.struct(F.xxhash64(ascii_lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).alias("line"), F.size(space_words(x)).alias("n")))
+    normal = F.transform("own", lambda x: F.struct(line_hash(x).alias("line"), F.size(space_words(x)).alias("n")))
     # two uses follow; the lines are taken apart once
     flat = own.select("id", "th", "host", F.explode(normal).alias("x")).select("id", "th", "host", "x.line", "x.n")
     flat = stored(flat, "lines")
@@ -84,11 +88,42 @@ def boilerplate(docs: DataFrame, id_col: str, text_col: str, host_col: str, leas
     often = counts.join(totals, "host").where(F.col("docs") > F.col("all") * share).select("host", "line")
     # a line that a third of all documents share is met by its documents in several parts
     often = stored(often, "boilerplate").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    part = flat.withColumn("salt", F.pmod("th", F.lit(salts)).cast("int"))
+    return flat.withColumn("salt", F.pmod("th", F.lit(salts)).cast("int")), often
+
+
+def boilerplate(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, share: float, salts: int = 16) -> DataFrame:
+    """(id, th, n_lost): the words that each document with boilerplate lines loses."""
+    part, often = boilerplate_lines(docs, id_col, text_col, host_col, least_docs, share, salts)
     per_row = part.groupBy("id", "th", "host", "line", "salt").agg(F.max("n").alias("n"), F.count("*").alias("times"))
     return per_row.join(often, ["host", "line", "salt"]).groupBy("id", "th").agg(F.sum(F.col("n") * F.col("times")).alias("n_lost"))
 
 
+def cleaned(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 10,
+    max_repeat_percent: int = 20,
+    least_docs: int = 10,
+    share: float = 0.01,
+    min_left: float = 0.3,
+) -> DataFrame:
+    """``docs`` with ``cleaned_text`` (boilerplate lines dropped, the others in order), ``n_boilerplate_words`` and ``kept``."""
+    names = fresh(docs, "cleaned_text", "n_boilerplate_words", "kept", "th_key", "host_key", "gone")
+    clean, lost, kept, th, host, gone = names
+    part, often = boilerplate_lines(docs, id_col, text_col, host_col, least_docs, share)
+    met = part.select("th", "host", "line", "salt").distinct().join(often, ["host", "line", "salt"])
+    met = met.groupBy(F.col("th").alias(th), F.col("host").alias(host)).agg(F.collect_set("line").alias(gone))
+    own = docs.withColumn(th, F.xxhash64(text_col)).withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(F.col(gone), line_hash(x))), "\n")
+    out = own.join(met, [th, host], "left").withColumn(clean, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
+    words, left = space_words(F.col(text_col)), F.size(space_words(F.col(clean)))
+    fine = bind(words, lambda w: (F.size(w) >= min_words) & (100 * repeat_words(w) <= max_repeat_percent * F.size(w)) & (left >= F.size(w) * min_left))
+    out = out.withColumn(lost, (F.size(words) - left).cast("long")).withColumn(kept, fine)
+    return out.select(*[F.col(f"`{c}`") for c in [*docs.columns, clean, lost, kept]])
+
+
 def judged(
     docs: DataFrame,
     id_col: str = "doc_id",
