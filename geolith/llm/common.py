@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -22,21 +23,44 @@ SPACE_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares.  Where none is named (tests), a temporary one is set and used."""
+    """The folder that the cluster shares.  Where none is named and all runs in one process (tests), a temporary one
+    is set and used; on a cluster that is an error, as executors do not see one another's disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpus-work-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop's file system of ``path``, the path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and where."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing.
+    The folder goes when the driver ends."""
+    return stored_at(df, name)[0]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """A stored table that nothing will read again."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -94,38 +118,47 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of any one ordered type -> (node, root): the smallest node that each node reaches.
 
-    Alternating large-star and small-star steps.  Each step is a partial minimum per node and an equality join
-    that adaptive execution can split where a node has many edges; each round is stored in the shared folder.
-    Self loops give a node that is its own root; null ends are dropped; an empty input gives an empty result.
+    Alternating large-star and small-star steps until nothing changes; links move to ever smaller nodes, so that comes.
+    Each step is a partial minimum per node and an equality join.  The minima are stored before they are joined: both
+    sides of the join are then plain shuffles, which adaptive execution can split where a node has very many links.
+    Tables of earlier rounds are deleted.  Self loops give a node that is its own root; null ends are dropped; an
+    empty input gives an empty result.
     """
+    spark = edges.sparkSession
     pairs = edges.select("a", "b").where("a is not null and b is not null")
     now = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     nodes = now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
-    links = now.where("a > b")
+    links, old = now.where("a > b"), []
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def kept(df: DataFrame, made: list[str]) -> DataFrame:
+        out, path = stored_at(df, "components")
+        made.append(path)
+        return out
+
     before = state(links)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
+        made: list[str] = []
         # large star: every larger neighbour of u moves to u's smallest neighbour
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), made)
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = kept(large.distinct(), made)
         # small star: the smaller neighbours of u, and u, move to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m")), made)
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        links = kept(small.union(least.select("a", F.col("m").alias("b"))).distinct(), made)
         after = state(links)
+        for path in [*old, *made[:-1]]:
+            deleted(spark, path)
+        old = made[-1:]
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -4,12 +4,15 @@ A text fails the base rules if it has fewer than ``min_words`` words, or if over
 words stand in five-word windows that the text has twice or more.
 
 Line frequency: lines are normalised (blanks run together, A-Z lower-cased) and hashed; per host, the distinct
-documents with each line are counted, exact copies of a document as one.  A line that is in more than
-``max(least_docs, share * distinct documents of the host)`` of them is boilerplate there and is removed.  A text is
-*depleted*, and rejected, if less than ``min_left`` of its words are left.
-
-Null, empty and blank texts have no words and fail the base rules.  A null host is a host like any other.  Repeated
-rows each get a row and count once.  An empty table gives an empty result.
+documents with each line are counted, by their ids (copies with ids of their own count each).  A line that is in more
+than ``max(least_docs, share * distinct documents of the host)`` of them is boilerplate there and is removed.  A text
+is *depleted*, and rejected, if less than ``min_left`` of its words are left.
+
+Counts are partial before they are shuffled, so a line or a host that most documents share loads no task; very long
+texts are one row's arrays.  Null, empty and blank texts have no words and fail the base rules.  A null host is a host
+like any other.  Rows with a null id are told apart by their texts.  Repeated rows each get a row and count once.
+Other columns play no part; ``cleaned`` keeps them, and its own take other names where they clash.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,9 +85,10 @@ def boilerplate_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str
     # two uses follow; the lines are taken apart once
     flat = own.select("id", "th", "host", F.explode(normal).alias("x")).select("id", "th", "host", "x.line", "x.n")
     flat = stored(flat, "lines")
-    seen = flat.select("host", "line", "th").distinct()
+    doc = [F.col("id"), F.when(F.col("id").isNull(), F.col("th")).alias("no_id")]
+    seen = flat.select("host", "line", *doc).distinct()
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
-    totals = own.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    totals = own.select("host", *doc).distinct().groupBy("host").agg(F.count("*").alias("all"))
     often = counts.join(totals, "host").where(F.col("docs") > F.col("all") * share).select("host", "line")
     # a line that a third of all documents share is met by its documents in several parts
     often = stored(often, "boilerplate").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -75,7 +75,7 @@ FROM doc LEFT JOIN base ON doc.r = base.r LEFT JOIN met ON doc.r = met.r
 
 QUALITY = r"""
 WITH doc AS (
-  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, chr(1))) AS th, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, chr(1)))) AS th, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM doc WHERE len(w) >= 5)),
 twice AS (SELECT win.r, i FROM win JOIN (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1) t ON win.r = t.r AND win.g = t.g),
