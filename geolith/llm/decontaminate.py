@@ -5,8 +5,12 @@ test item; an item of fewer words, but not none, is one window.  The hash set of
 takes at most ``broadcast_limit`` bytes, and joined by a shuffle otherwise.  Every window of every training text
 is looked up by its 64-bit hash, and a hit is verified on the words themselves.
 
+All window sizes (items of fewer than ``n`` words have their own) are looked up in one pass over the texts.
+
 Null, empty and wordless texts have no words and no hits.  Items with a null id or no words have no windows;
-repeated items count once.  Repeated rows each get a row.  An empty table, on either side, gives no hits.
+repeated items count once.  Repeated rows each get a row; they share one row of hits.  A very long text is one row's
+array of words, its windows are rows of their own.  Other columns stay, whatever their names: what is added for the
+join takes names that are free.  An empty table, on either side, gives no hits.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ RAW_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def windows(words: Column, n: int) -> Column:
-    """Every (pos, gram) of ``n`` words in order."""
+    """Every (pos, size, gram) of ``n`` words in order."""
     at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice(words, i + 1, n)).alias("gram")))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("size"), F.concat_ws(" ", F.slice(words, i + 1, n)).alias("gram")))
 
 
 def test_windows(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -44,14 +48,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     small = size <= broadcast_limit
     sizes = [r[0] for r in grams.select("n_gram").distinct().collect()]  # n values at most
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), alnum_words(F.col(text_col)).alias("w"))
-    found = None
-    for k in sorted(sizes):
-        probes = own.select("id", "th", F.explode(windows(F.col("w"), k)).alias("x")).select("id", "th", F.xxhash64("x.gram").alias("h"), F.col("x.pos").alias("pos"), F.col("x.gram").alias("gram"))
-        test = grams.where(F.col("n_gram") == k).select("h", F.col("gram").alias("test_gram"), "items")
-        part = probes.join(F.broadcast(test) if small else test, "h").where("gram = test_gram").select("id", "th", "pos", F.lit(k).alias("size"), "items")
-        found = part if found is None else found.union(part)
-    if found is None:
+    if not sizes:
         return own.select("id", "th", F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("items")).limit(0)
+    every = [windows(F.col("w"), k) for k in sorted(sizes)]
+    probes = own.select("id", "th", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("x"))
+    probes = probes.select("id", "th", F.xxhash64("x.gram").alias("h"), F.col("x.pos").alias("pos"), F.col("x.size").alias("size"), F.col("x.gram").alias("gram"))
+    test = grams.select("h", F.col("gram").alias("test_gram"), "items")
+    found = probes.join(F.broadcast(test) if small else test, "h").where("gram = test_gram").select("id", "th", "pos", "size", "items")
     spans = F.transform(F.collect_set(F.struct("pos", "size")), lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1))
     return found.groupBy("id", "th").agg(
         F.array_sort(F.array_distinct(F.flatten(spans))).alias("places"),
@@ -61,17 +64,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8) -> tuple[DataFrame, str, str]:
     """``docs`` with the words hit and the items (both empty where there are none), and the names of the two."""
-    found = hits(docs, benchmark, id_col, text_col, n)
-    th, places, items = fresh(docs, "th", "hit_places", "hit_items")
-    found = found.select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.col("places").alias("places_"), F.col("items").alias("items_"))
-    own = docs.withColumn(th, F.xxhash64(text_col))
-    joined = own.join(found, own[id_col].eqNullSafe(found["id_"]) & (own[th] == found["th_"]), "left")
+    th, places, items, *keys = fresh(docs, "th", "hit_places", "hit_items", "found_id", "found_th", "found_places", "found_items")
+    found = hits(docs, benchmark, id_col, text_col, n).toDF(*keys)
+    of_id, of_th, at, which = map(F.col, keys)
+    joined = docs.withColumn(th, F.xxhash64(text_col)).join(found, F.col(id_col).eqNullSafe(of_id) & (F.col(th) == of_th), "left")
     empty = F.array()
-    return (
-        joined.select(*[own[c] for c in docs.columns], F.coalesce("places_", empty.cast("array<int>")).alias(places), F.coalesce("items_", empty.cast("array<string>")).alias(items)),
-        places,
-        items,
-    )
+    added = [F.coalesce(at, empty.cast("array<int>")).alias(places), F.coalesce(which, empty.cast("array<string>")).alias(items)]
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *added), places, items
 
 
 def remove_test_data(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8, max_items: int = 1) -> DataFrame:

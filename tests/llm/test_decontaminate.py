@@ -88,3 +88,12 @@ def test_empty(spark):
     assert dc.query(d.limit(0), b).count() == 0
     assert [tuple(r)[1:4] for r in dc.query(d, b.limit(0)).collect()] == [(2, 0, 0)]
     assert dc.remove_test_data(d, b.limit(0)).count() == 1
+
+
+def test_columns_with_clashing_names_stay(spark):
+    names = ["places_", "items_", "found_places", "Found_Items", "hit_places", "th", "gram", "pos", "size"]
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine", *range(9)), (2, "short item and more", *range(9)), (3, None, *range(9))], ["doc_id", "text", *names])
+    items = spark.createDataFrame([("a", "two three four five six seven eight nine"), ("b", "short item")], "item_id string, text string")
+    out = {r.doc_id: r for r in dc.remove_test_data(docs, items).collect()}
+    assert out[1].text == "one " and out[2].text == "and more" and out[3].text is None
+    assert dc.remove_test_data(docs, items).columns == docs.columns and list(out[1])[2:] == list(range(9))
