@@ -6,18 +6,25 @@ also starts anywhere else (the same document included) is removed; windows are j
 1. *Anchors.*  With blocks of ``(window + 1) // 2`` words, the non-overlapping blocks of each document are the
    index, and every rolling block of every document probes it.  Any window holds a whole block of the index, so of
    two equal windows each has a rolling block that hits the other's (or its own) indexed block.
-2. *Extension.*  Around each hit the windows that hold it are compared word for word, by a 96-bit digest, with all
-   other windows around hits; those found twice are repeats, and their union is every maximal exact repeat of
-   ``window`` words or more.
+2. *Extension.*  Around each hit the windows that hold it are compared with all other windows around hits, by 128
+   bits of two digests over two hashes of each word that have nothing in common; those found twice are repeats, and
+   their union is every maximal exact repeat of ``window`` words or more.
+
+A word's hash takes its bytes eight at a time, each mixed before the next, and its length: words that differ have
+unlike hashes whatever their length, which sums of powers do not give.
 
 Neither step ships a row for each word.  Documents are dealt into chunks; a chunk sends each hash range one sorted,
 de-duplicated and delta-coded list of keys, and gets back one bit for each key.  A key is in a list at most once
 however often the chunk repeats it, so a passage that a third of all rows share loads no task more than another.
-Lost executors only cause parts of the plan to run again: every step depends on nothing but its input rows.
+Chunks and ranges come from the bytes of all texts (``chunk_bytes``, ``range_bytes``), and there are never fewer than
+the shuffle's partitions ask for.  Rows are dealt by id and text; where rows with an equal id and text make up more
+than a few chunks, the table is stored with a number for each row and dealt by that too.  Lost executors only cause
+parts of the plan to run again: every step depends on nothing but its input rows.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D.  Null, empty and blank texts have no words and stay as they
-are.  Texts shorter than a window lose nothing.  Repeated rows are documents like any others, so their windows
-repeat.  An empty table gives an empty result.
+are, in no chunk.  Texts shorter than a window lose nothing.  A very long text is one row of one chunk.  Repeated rows
+are documents like any others, so their windows repeat.  Other columns, whatever their names, are fields of ``row``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +33,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, modest_batches, partitions
+from .common import fresh, give_back, modest_batches, partitions, stored
 
 P, Q1, Q2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F))
 #: Bytes that are hashed together, unless one text is longer.
@@ -38,6 +46,10 @@ BLOCK_BYTES = 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Masks of the lowest bytes of eight, by their number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -71,7 +83,7 @@ def rolled(values: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * powers(inverse(base), n - width + 1))
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words of each text)."""
     hashes, counts = [], []
     k = 0
@@ -81,13 +93,12 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             part.append(texts[k])
             used += len(texts[k]) + 1
             k += 1
-        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        joined = b" ".join(part) + b" "
+        raw = np.frombuffer(joined, np.uint8)
         space = IS_SPACE[raw]
         turn = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))  # starts and ends of words, in turn
         starts, ends = turn[0::2], turn[1::2]
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(P, len(raw)), out=total[1:])
-        hashes.append(mix((total[ends] - total[starts]) * powers(inverse(P), len(raw))[starts] + (ends - starts).astype(np.uint64)))
+        hashes.append(word_hashes(joined, starts, ends - starts, seed))
         bounds = np.cumsum([0, *[len(t) + 1 for t in part]])
         counts.append(np.diff(np.searchsorted(starts, bounds)))
     if not hashes:
@@ -95,6 +106,22 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+def word_hashes(joined: bytes, starts: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Eight bytes of every word at a time; words over LONG bytes by XXH3."""
+    padded = joined + b"\0" * 8
+    eights = np.ndarray(len(joined) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) * Q1 + np.uint64((seed * 2 + 1) * int(P) % (1 << 64)))
+    own, at, left = np.arange(len(starts)), starts, size
+    while len(own):
+        part = eights[at] & LOW_BYTES[np.minimum(left, 8)]
+        out[own] = mix(out[own] ^ part) * Q2
+        more = (left > 8) & (size[own] <= LONG)
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : starts[k] + size[k]], seed)
+    return out
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as a first key and steps of four bytes, or eight where one needs them."""
     steps = np.diff(keys)
@@ -115,6 +142,7 @@ class Chunk:
 
     def __init__(self, texts: list[bytes | None], window: int, buckets: int):
         self.window, self.block, self.buckets = window, (window + 1) // 2, buckets
+        self.texts = texts
         self.words, self.counts = hashed_words([x or b"" for x in texts])
         self.more = self.twice = None
         self.ends = np.cumsum(self.counts)
@@ -144,14 +172,16 @@ class Chunk:
         self.keys = key[new] | flags
 
     def candidates(self, hit: np.ndarray) -> None:
-        """Keys of the windows around hits (``hit``: of self.keys), with 32 more bits and whether the chunk has it twice."""
+        """Keys of the windows around hits (``hit``: of self.keys), with 64 more bits and whether the chunk has it twice."""
         flag = np.zeros(len(self.words) + 1, np.int64)
         flag[self.at[self.order[np.repeat(hit, self.size)]]] = 1
         seen = np.concatenate(([0], np.cumsum(flag)))
         at = self.fits(self.window)
         self.at = at[seen[at + self.window - self.block + 1] > seen[at]]
-        key, more = (rolled(self.words, self.window, q)[self.at] if len(self.at) else np.empty(0, np.uint64) for q in (Q1, Q2))
-        more = (more >> np.uint64(32)).astype(np.uint32)
+        key = more = np.empty(0, np.uint64)
+        if len(self.at):
+            key = rolled(self.words, self.window, Q1)[self.at]
+            more = rolled(hashed_words([x or b"" for x in self.texts], 1)[0], self.window, Q2)[self.at]
         self.order = np.lexsort((more, key))
         key, more = key[self.order], more[self.order]
         differs = np.ones(len(key), bool)
@@ -225,8 +255,8 @@ def second_replies(table: pa.Table) -> pa.Table:
     chunks, lists = table.column("chunk").to_pylist(), [unpacked(x) for x in table.column("keys").to_pylist()]
     extra = table.column("extra").to_pylist()
     keys = np.concatenate(lists)
-    more = np.concatenate([np.frombuffer(x, "<u4", len(k)) for x, k in zip(extra, lists)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * len(k)), count=len(k)) for x, k in zip(extra, lists)])
+    more = np.concatenate([np.frombuffer(x, "<u8", len(k)) for x, k in zip(extra, lists)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * len(k)), count=len(k)) for x, k in zip(extra, lists)])
     order = np.lexsort((more, keys))
     k, m = keys[order], more[order]
     differs = np.ones(len(k), bool)
@@ -250,7 +280,33 @@ def replies_of(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: x for s, b, x in zip(*(table.column(c).to_pylist() for c in ("step", "bucket", "bits"))) if s == step}
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 35, chunks_per_partition: int = 3) -> DataFrame:
+#: Cells that the bytes of texts are summed up in, to see whether rows with an equal id and text are very many.
+CELLS = 4096
+
+
+def dealt(docs: DataFrame, text_col: str, id_col: str, floor: int, chunk_bytes: int, range_bytes: int) -> tuple[DataFrame, Column, int, int]:
+    """(the table, the number that deals each row, chunks, ranges of hashes)."""
+    spread = F.xxhash64(F.col(id_col), F.col(text_col))
+    size = F.octet_length(F.col(text_col))
+    cells = docs.select(F.pmod(spread, F.lit(CELLS)).alias("cell"), size.cast("long").alias("size")).groupBy("cell").agg(F.sum("size").alias("all"), F.max("size").alias("most")).where("all is not null").collect()
+    total = sum(r["all"] for r in cells)
+    chunks, ranges = max(floor, -(-total // chunk_bytes)), max(partitions(docs.sparkSession), -(-total // range_bytes))
+    if any(r["all"] - r["most"] > 4 * max(chunk_bytes, total / CELLS) for r in cells):
+        (row,) = fresh(docs, "row_number")
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
+        spread = F.xxhash64(F.col(id_col), F.col(text_col), F.col(row))
+    return docs, spread, chunks, ranges
+
+
+def remove_repeats(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    window: int = 35,
+    chunks_per_partition: int = 3,
+    chunk_bytes: int = 32 << 20,
+    range_bytes: int = 64 << 20,
+) -> DataFrame:
     """(row, n_words, n_removed, kept_words, kept_text): ``row`` is the input row as a struct.
 
     ``kept_words`` is the kept words joined by one space (null where the text is null); ``kept_text`` is the text
@@ -258,11 +314,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    buckets = partitions(spark)
-    n_chunks = chunks_per_partition * partitions(spark)
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).cast("int")
-    rows = docs.select(chunk.alias("chunk"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    at = docs.columns.index(text_col)
+    columns = docs.columns
+    docs, spread, n_chunks, buckets = dealt(docs, text_col, id_col, chunks_per_partition * partitions(spark), chunk_bytes, range_bytes)
+    rows = docs.select(F.pmod(spread, F.lit(n_chunks)).cast("int").alias("chunk"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    at = columns.index(text_col)
+    text = F.col("row").getField(text_col)
+    wordless = F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    bare = rows.where(wordless).select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.when(text.isNotNull(), F.lit("")).alias("kept_words"), text.alias("kept_text"))
+    rows = rows.where(~wordless)
 
     def texts(table: pa.Table) -> list[bytes | None]:
         return pa.chunked_array([x.field(at) for x in table.column("row").chunks], pa.string()).cast(pa.binary()).to_pylist()
@@ -271,7 +330,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         cuts, out = c.cuts(), []
         for k in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[k], cuts[k + 1]
-            extra = c.more[a:b].astype("<u4").tobytes() + np.packbits(c.twice[a:b]).tobytes() if c.more is not None else None
+            extra = c.more[a:b].astype("<u8").tobytes() + np.packbits(c.twice[a:b]).tobytes() if c.more is not None else None
             out.append((int(k), chunk, packed(c.keys[a:b]), extra))
         give_back()
         return arrow(out, SENT)
@@ -299,7 +358,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             c.probes()
             c.candidates(c.hits(replies_of(replies, 1)))
             gone = c.covered(c.hits(replies_of(replies, 2)))
-        counts, c.words = c.counts, None
+        counts, c.words, c.texts = c.counts, None, None
         give_back()
         removed, words, whole = [], [], []
         for raw, a, b in zip(own_texts, c.first.tolist(), c.ends.tolist()):
@@ -319,7 +378,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     first = rows.groupBy("chunk").applyInArrow(probe, SENT).groupBy("bucket").applyInArrow(first_replies, REPLY)
     second = rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(second_replies, REPLY)
-    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, schema)
+    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, schema).union(bare)
 
 
 def query(docs: DataFrame) -> DataFrame:

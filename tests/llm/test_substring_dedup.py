@@ -79,3 +79,31 @@ def test_packing():
     for keys in ([5], [0, 1, 2**63, 2**64 - 1], [7, 8, 9]):
         keys = np.array(keys, np.uint64)
         assert (sd.unpacked(sd.packed(keys)) == keys).all()
+
+
+def twins(n):
+    """Two words of 2 ** n letters whose hashes by sums of powers modulo 2 ** 64 are equal."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_differ_in_letters_only(spark):
+    a, b = twins(11)
+    texts = [" ".join(["w%d" % k for k in range(34)] + [x]) for x in (a, b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in sd.query(docs).collect()} == {0}
+    again = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in sd.query(again).collect()} == {0: 35, 1: 0, 2: 35}
+
+
+def test_very_many_equal_rows_are_dealt_apart(spark):
+    passage = " ".join("p%d" % k for k in range(40))
+    rows = [(None, None)] * 300 + [(7, passage)] * 50 + [(8, "alone " + passage), (9, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, spread, _, _ = sd.dealt(docs, "text", "doc_id", 4, 1 << 10, 1 << 10)
+    assert "row_number" in str(spread)
+    out = sd.remove_repeats(docs, chunk_bytes=1 << 10, range_bytes=1 << 10)
+    found = Counter((r.row.doc_id, r.n_words, r.n_removed, r.kept_words) for r in out.collect())
+    assert found == {(None, 0, 0, None): 300, (7, 40, 40, ""): 50, (8, 41, 40, "alone"): 1, (9, 2, 0, "other words"): 1}
