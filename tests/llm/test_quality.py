@@ -10,11 +10,12 @@ def brute(rows, least=10, share=0.01, left=0.3):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     norm = lambda x: lower(" ".join(word.findall(x)))
     docs, all_docs = defaultdict(set), defaultdict(set)
-    for _, text, host in rows:
-        all_docs[host].add(text)
+    for i, text, host in rows:
+        own_id = (i, None) if i is not None else (None, text)
+        all_docs[host].add(own_id)
         for x in (text or "").split("\n"):
             if word.search(x):
-                docs[host, norm(x)].add(text)
+                docs[host, norm(x)].add(own_id)
     out = []
     for i, text, host in rows:
         w = word.findall(text or "")
