@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express, over the views of the test tables."""
 
-from .licenses import PHRASES, TEMPLATES, plain_words
+from .licenses import PHRASES, TEMPLATES, longest, plain_words
 
 #: Windows of documents joined with windows of items.
 DECONTAMINATE = r"""WITH doc AS (
@@ -52,19 +52,25 @@ FROM doc LEFT JOIN per ON doc.r = per.r LEFT JOIN kept ON doc.r = kept.r
 """
 
 _phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-_templates = ", ".join(f"({k}, '{label}', {sorted(set(plain_words(text)))})" for k, (label, text) in enumerate(TEMPLATES))
+_templates = ", ".join(f"({k}, '{label}', {sorted(set(plain_words(text)))}, {[' '.join(plain_words(p)) for p in must]})" for k, (label, text, must) in enumerate(TEMPLATES))
 
-#: All lines against all templates, in place of the prefix, length and positional filters.
+#: All blocks against all templates, in place of the prefix, length and positional filters.
 LICENSES = rf"""
 WITH phrase(p, label, n) AS (VALUES {_phrases}),
-template(k, label, t) AS (VALUES {_templates}),
+template(k, label, t, must) AS (VALUES {_templates}),
 doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 place AS (SELECT r, i - 1 AS pos, label FROM (SELECT r, w, p, label, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, phrase WHERE len(w) >= n) WHERE w[i] = split_part(p, ' ', 1) AND array_to_string(w[i : i + n - 1], ' ') = p),
 base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY r),
-line AS (SELECT r, list_distinct(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM doc)),
-pair AS (SELECT r, label, len(list_intersect(b, t)) AS shared, len(t) AS size FROM line, template WHERE len(b) >= 3),
+line AS (
+  SELECT r, k, len(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM doc)),
+start AS (SELECT r, n, sum(n) OVER (PARTITION BY r ORDER BY k) - n AS before FROM line),
+block AS (SELECT start.r, w[CAST(before AS BIGINT) + 1 : CAST(before + n AS BIGINT) + {longest(TEMPLATES)}] AS b FROM start JOIN doc ON start.r = doc.r WHERE n > 0),
+pair AS (
+  SELECT r, label, len(list_intersect(list_distinct(b), t)) AS shared, len(t) AS size
+  FROM (SELECT r, b, ' ' || array_to_string(b, ' ') || ' ' AS joined FROM block), template WHERE len(list_filter(must, lambda m: contains(joined, ' ' || m || ' '))) > 0),
 met AS (SELECT r, list(DISTINCT label) AS labels, max(shared / size) AS share FROM pair WHERE shared >= greatest(1, ceil(0.8 * size - 1e-9)) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
