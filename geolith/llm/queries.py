@@ -25,6 +25,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.query(table(spark, sf_dir, "pages"))
 
 
+def url_filter_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not an operator of its own: op3's with redirects between the pages."""
+    return url_filter.redirect_query(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_warc_derivatives,
         op2_decontaminate,
         op3_url_filter,
+        url_filter_redirects,
         op4_toxicity,
         op5_substring_dedup,
         op6_sharding,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": sql.DECONTAMINATE,
     "op3_url_filter": sql.URL_FILTER,
+    "url_filter_redirects": sql.URL_REDIRECTS,
     "op5_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_licenses": sql.LICENSES,
     "op9_quality": sql.QUALITY,

@@ -23,18 +23,39 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc d LEFT JOIN place p ON d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.th = p.th LEFT JOIN items i ON d.doc_id IS NOT DISTINCT FROM i.doc_id AND d.th = i.th
 """
 
-#: The rules alone: the pages of these tables have neither redirects nor canonical links, so that every component is
-#: one url.  Propagation is tested against brute force.
-URL_FILTER = r"""
-WITH p AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
-  FROM pages),
-r(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
-SELECT page_id, host, path, (SELECT first(h || r.p ORDER BY length(h || r.p) DESC) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)) AS rule,
-  coalesce((SELECT first(action ORDER BY length(h || r.p) DESC) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)), 'allow') AS verdict,
-  CAST(NULL AS VARCHAR) AS component
-FROM p
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_URLS = rf"""
+p AS (
+  SELECT page_id, url, host, path, scheme, CASE WHEN contains(url, '://') THEN scheme || '://' || host || rest END AS node
+  FROM (
+    SELECT page_id, url, {_LOWER.format("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")} AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+      {_LOWER.format("regexp_extract(coalesce(url, ''), '^(.*?)://', 1, 's')")} AS scheme, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest
+    FROM pages)),
+rules(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))"""
+_RULE = "(SELECT first({0} ORDER BY length(h || r.p) DESC) FROM rules r WHERE ({1}.host = h OR ends_with({1}.host, '.' || h)) AND starts_with({1}.path, r.p))"
+
+#: A url and its usual form are one group: no page has other links.
+URL_FILTER = rf"""WITH {_URLS},
+u AS (
+  SELECT *, CASE WHEN scheme IN ('http', 'https') THEN 'https://' || regexp_replace(host, '^((www|m)\.)+([^.]+\..+)$', '\3') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS form
+  FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*[^?#]*\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')), '&') AS q FROM p)),
+node AS (SELECT DISTINCT form, node FROM u WHERE form IN (SELECT form FROM u WHERE form <> node) UNION SELECT form, form FROM u WHERE form <> node),
+parts AS (SELECT form, node, {_LOWER.format("regexp_extract(node, '^.*?://([^/?#]*)', 1, 's')")} AS host, regexp_extract(node, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM node),
+votes AS (SELECT form, min(node) AS component, bool_or(action = 'allow') AS allowed, bool_or(action = 'block') AS blocked FROM (SELECT form, node, {_RULE.format("action", "parts")} AS action FROM parts) GROUP BY form)
+SELECT page_id, host, path, {_RULE.format("h || r.p", "u")} AS rule,
+  coalesce({_RULE.format("action", "u")}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict, component
+FROM u LEFT JOIN votes ON u.form = votes.form
+"""
+
+#: Chains of six pages, walked from every url.
+URL_REDIRECTS = rf"""WITH RECURSIVE {_URLS},
+e AS (SELECT a.node AS a, b.node AS b FROM p a JOIN p b ON a.page_id = b.page_id + 1 WHERE a.page_id % 6 <> 0 AND a.node <> b.node),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.m = both_ways.a),
+action AS (SELECT node, any_value({_RULE.format("action", "p")}) AS action FROM p GROUP BY node),
+votes AS (SELECT n, min(m) AS component, bool_or(action = 'allow') AS allowed, bool_or(action = 'block') AS blocked FROM reach JOIN action ON m = node GROUP BY n)
+SELECT page_id, {_RULE.format("h || r.p", "p")} AS rule, coalesce({_RULE.format("action", "p")}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict, component
+FROM p LEFT JOIN votes ON p.node = votes.n
 """
 
 #: Every window of 35 words, grouped by its words.

@@ -3,14 +3,19 @@
 A rule is (action, host, path): it fits its host and all subdomains if the url's path starts with the rule's.  The
 longest rule that fits decides; of two equally long, an allow rule.
 
-Redirects, meta refreshes and canonical links join a page's url to its target.  Connected components over these
-edges are one site under several names: a url that no rule fits takes the decision of its component, which is allow
-if any of its urls is allowed by a rule, else block if any is blocked by a rule, else allow.  Urls are compared
-without fragment, with scheme and host in lower case.
+Redirects, meta refreshes and canonical links join a page's url to its target, and every url is joined to its usual
+form, which sites redirect to by convention: https, no ``www.`` or ``m.`` before the host, no slash at the path's end
+and no tracking parameters (``TRACKING``).  Connected components over these edges are one site under several names: a
+url that no rule fits takes the decision of its component, which is allow if any of its urls is allowed by a rule,
+else block if any is blocked by a rule, else allow.  Urls are compared without fragment, with scheme and host in lower
+case.
+
+A component's votes are stored before its urls are joined with them, so that adaptive execution can split the join of
+one that most urls belong to.
 
 Null urls and urls without ``://`` have an empty host and path, no rule and no links.  A null page has no links.
-Links that lead to the page itself count for nothing.  Repeated rows each get a row.  An empty table gives an empty
-result.
+Links that lead to the page itself count for nothing.  Very long urls and pages are single values.  Repeated rows each
+get a row.  Other columns play no part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from .common import ascii_lower, connected_components, stored
 
 #: (action, host, path) of the registered query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Rules are compiled into one expression; a longer list belongs in a table.
-MOST_RULES = 1000
+#: Rules up to this number are one expression; more are a table that hosts are joined with.
+MOST_IN_EXPRESSION = 200
+#: Names of query parameters that only track visitors.
+TRACKING = "utm_[^=]*|ref|fbclid|gclid"
 
 
 def host_of(url: Column) -> Column:
@@ -43,10 +50,17 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(ascii_lower(scheme), F.lit("://"), host_of(url), rest))
 
 
+def usual_form(url: Column) -> Column:
+    """What sites redirect ``url`` to by convention; null for schemes other than http and https."""
+    scheme = ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    host = F.regexp_replace(host_of(url), r"^((www|m)\.)+([^.]+\..+)$", "$3")
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~x.rlike(f"^({TRACKING})(=|$)") & (x != "")), "&")
+    return F.when(scheme.isin("http", "https"), F.concat(F.lit("https://"), host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+
 def decision(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, action) of the longest rule that fits, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
     out = None
     for action, rule_host, rule_path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1:])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
@@ -55,6 +69,20 @@ def decision(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
+def decided(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``urls`` (host, path, ...) with ``found``: struct(rule, action), by the longest rule."""
+    if len(rules) <= MOST_IN_EXPRESSION:
+        return urls.withColumn("found", decision(F.col("host"), F.col("path"), rules))
+    table = urls.sparkSession.createDataFrame([(h, p, h + p, a) for a, h, p in rules], "suffix string, start string, rule string, action string")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = urls.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    best = F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allow"), "rule", "action"))
+    found = each.join(table, "suffix").where(F.col("path").startswith(F.col("start"))).groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path")).agg(best.alias("best"))
+    found = found.select("of_host", "of_path", F.struct("best.rule", "best.action").alias("found"))
+    return urls.join(found, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left").drop("of_host", "of_path")
+
+
 def target(base: Column, link: Column) -> Column:
     """``link`` as seen from the page at ``base``."""
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
@@ -89,28 +117,35 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return found.select(node_of(F.col("url")).alias("a"), node_of(target(F.col("url"), F.col("link"))).alias("b")).where("a != b")
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judged(
+    pages: DataFrame,
+    rules: Sequence[tuple[str, str, str]] = RULES,
+    redirects: DataFrame | None = None,
+    key_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    usual_forms: bool = True,
+) -> DataFrame:
     """(key, host, path, rule, verdict, component), a row for each row of ``pages``.
 
     ``redirects`` (source, target): urls that redirect.  ``component``: the least url of the page's component, null
     where no link leads to or from the page.
     """
+    url = F.col(url_col)
     edges = links(pages, url_col, html_col)
+    if usual_forms:
+        edges = edges.union(pages.select(node_of(url).alias("a"), usual_form(url).alias("b")).where("a != b"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")).where("a != b"))
-    edges = stored(edges.distinct(), "url-edges")
-    url = F.col(url_col)
+    comps = stored(connected_components(edges), "url-components")
+    nodes = decided(comps.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
+    votes = nodes.groupBy(F.col("root").alias("of_root")).agg(F.max(F.col("found.action") == "allow").alias("allowed"), F.max(F.col("found.action") == "block").alias("blocked"))
+    votes = stored(votes, "url-votes")
+    action = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block")
+    of = comps.join(votes, F.col("root") == F.col("of_root")).select("node", F.col("root").alias("component"), action.alias("group_action"))
+    of = stored(of, "url-actions")
     own = pages.select(F.col(key_col).alias("key"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("own_node"))
-    own = own.withColumn("found", decision(F.col("host"), F.col("path"), rules))
-    if edges.isEmpty():
-        own = own.withColumn("component", F.lit(None).cast("string")).withColumn("group_action", F.lit(None).cast("string"))
-    else:
-        comps = stored(connected_components(edges), "url-components")
-        each = decision(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
-        votes = comps.groupBy("root").agg(F.max(each == "allow").alias("allowed"), F.max(each == "block").alias("blocked"))
-        action = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block")
-        of = comps.join(votes.select("root", action.alias("group_action")), "root")
-        own = own.join(of, own["own_node"] == of["node"], "left").withColumnRenamed("root", "component")
+    own = decided(own, rules).join(of, F.col("own_node") == F.col("node"), "left")
     verdict = F.coalesce("found.action", "group_action", F.lit("allow"))
     return own.select(F.col("key").alias(key_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "component")
 
@@ -118,3 +153,11 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redi
 def query(pages: DataFrame) -> DataFrame:
     """The contract's rows, and component."""
     return judged(pages)
+
+
+def redirect_query(pages: DataFrame, chain: int = 6) -> DataFrame:
+    """(page_id, rule, verdict, component) where each page redirects to the one before it, in chains of ``chain``."""
+    one = pages.select("page_id", "url")
+    before = one.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
+    redirects = one.where(F.col("page_id") % chain != 0).join(before, "page_id").select(F.col("url").alias("source"), "target")
+    return judged(pages, redirects=redirects, usual_forms=False).select("page_id", "rule", "verdict", "component")

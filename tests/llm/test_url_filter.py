@@ -63,3 +63,41 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://a.com/de/", "", "x", "y")], "page_id long, url string, html string, host string, verdict string")
     assert [tuple(r)[:5] for r in uf.query(df).collect()] == [(1, "a.com", "/de/", "com/de/", "block")]
     assert uf.query(df.limit(0)).count() == 0
+
+
+def test_usual_forms_are_one_component(spark):
+    pages = [
+        (1, "http://www.a.net/x/?utm_source=f&page=2&ref=y#top"),
+        (2, "https://m.a.net/x?page=2"),
+        (3, "https://a.net/x?page=2"),
+        (4, "https://a.net/x"),
+        (5, "http://site.com/de"),  # no rule fits; its other form is blocked
+        (6, "https://www.site.com/de/"),
+        (7, "http://m.io/"),
+        (8, "ftp://www.a.net/x"),
+        (9, "https://plain.net/y"),
+    ]
+    df = spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in uf.query(df).collect()}
+    assert got[1] == got[2] == got[3] == ("allow", "http://www.a.net/x/?utm_source=f&page=2&ref=y")
+    assert got[4] == got[8] == got[9] == ("allow", None) and got[7] == ("allow", "http://m.io/")
+    assert got[5] == ("block", "http://site.com/de") and got[6] == ("block", "http://site.com/de")
+
+
+def test_a_hub_passes_its_decision_on(spark):
+    hub = "http://com/de/hub"
+    df = spark.createDataFrame([(k, f"http://n{k}.net/", None) for k in range(3000)] + [(9999, hub, None)], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(f"http://n{k}.net/", hub) for k in range(0, 3000, 2)], "source string, target string")
+    got = uf.judged(df, redirects=redirects, usual_forms=False).collect()
+    assert all((r.verdict == "block") == (r.page_id == 9999 or r.page_id % 2 == 0) for r in got)
+    assert {r.component for r in got if r.verdict == "block"} == {hub}
+
+
+def test_more_rules_than_an_expression_holds(spark):
+    rules = [("block" if k % 3 else "allow", f"h{k % 500}.net", f"/{k // 500}" if k >= 500 else "/") for k in range(1500)] + list(uf.RULES)
+    urls = [f"http://{'www.' * (k % 2)}h{k % 700}.net/{k % 4}x" for k in range(1400)] + [None, "x", "http://a.com/de/1"]
+    df = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    for r in uf.judged(df, rules, usual_forms=False).collect():
+        host, path = parts(urls[r.page_id])
+        fit = [(len(h + p), a == "allow", h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow"))
