@@ -5,9 +5,14 @@ metadata block lists the source's HTTP status and headers, its digests, the titl
 from the source's id and the kind, so that a task that runs again makes the same records.
 
 Records are rows (``RECORD``) with the block as bytes; ``serialized`` and ``parsed`` turn rows into the WARC/1.1 form
-and back.  A response without an HTTP head (no blank line) is all payload.  Responses that are not HTML convert to
-their text as it is.  A null block is an empty one; a null target or date leaves its field out.  Repeated rows give
-repeated records with equal ids.  An empty table gives an empty result.
+and back.  A response without an HTTP head (no blank line) is all payload.  Digests are of what was stored; text comes
+from the payload with its chunks joined and its compression (gzip, deflate, zstd) undone.  A payload under another
+content encoding has an empty text, and the metadata name the encoding.  Responses that are not HTML convert to their
+text as it is.
+
+A null block is an empty one; a null target or date leaves its field out.  A very long page is one value.  Repeated
+rows give repeated records with equal ids.  Other columns, whatever their names, are left out.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +37,17 @@ RECORD = "record_type string, record_id string, refers_to string, target_uri str
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivative")
 
+#: The rest of a tag: quoted values may hold its end sign; a quote that is never closed ends with the tag.
+REST = r"(?:(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
 #: What may stand in a head; it ends before anything else, as its end tag may be left out.
-IN_HEAD = r"(?:\s+|<!--.*?(?:-->|\Z)|<(title|script|style|noscript|template)\b[^>]*>.*?</\2\s*>|<(?:script|style)\b[^>]*>.*|</?(?:meta|link|base|title|noscript|template)\b[^>]*>)"
+IN_HEAD = rf"(?:\s+|<!--.*?(?:-->|\Z)|<(title|script|style|noscript|template)\b{REST}.*?</\2\s*>|<(?:script|style)\b{REST}.*|</?(?:meta|link|base|title|noscript|template)\b{REST})"
 #: Only comments, scripts and styles run to the end of the page; others without an end tag lose the tag alone.
-DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>" + IN_HEAD + r"*+(?:</head\s*>)?|<(noscript|template|svg)\b[^>]*>.*?</\3\s*>")
-BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|main|aside|blockquote|pre|hr|dl|dt|dd|form|figure)\b[^>]*>")
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+DROP = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style)\b{REST}.*?(?:</\1\s*>|\Z)|<head\b{REST}{IN_HEAD}*+(?:</head\s*>)?|<(noscript|template|svg)\b{REST}.*?</\3\s*>")
+BREAK = re.compile(rf"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|main|aside|blockquote|pre|hr|dl|dt|dd|form|figure)\b{REST}")
+TAG = re.compile(rf"<[a-zA-Z/!?]{REST}")
 BLANK = re.compile(r"[ \t\r\f\v ]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+TITLE = re.compile(rf"(?is)<title\b{REST}(.*?)</title\s*>")
 HREF = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.-]+)")
 
@@ -64,6 +73,53 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in rest)], payload
 
 
+def dechunked(raw: bytes) -> bytes:
+    """The chunks of a chunked body, up to where it breaks off; ``raw`` where it is not chunked after all."""
+    out, at = [], 0
+    while (end := raw.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(raw[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(raw[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out) if out or raw.startswith(b"0") else raw
+
+
+def inflated(raw: bytes, encoding: str) -> bytes | None:
+    """``raw`` with a content encoding undone, as far as it goes; null where the encoding is not known."""
+    if encoding in ("", "identity"):
+        return raw
+    if encoding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # with a head of either kind, or bare
+            try:
+                return zlib.decompressobj(bits).decompress(raw)
+            except zlib.error:
+                continue
+        return raw
+    if encoding == "zstd":
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        except zstandard.ZstdError:
+            return raw
+    return None
+
+
+def body_of(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str]:
+    """(the payload with its encodings undone, the content encoding that could not be)."""
+    named = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = dechunked(payload)
+    for encoding in reversed([x.strip() for x in named.get("content-encoding", "").split(",")]):
+        found = inflated(payload, encoding)
+        if found is None:
+            return b"", encoding
+        payload = found
+    return payload, ""
+
+
 def text_of(page: str) -> str:
     """Visible text: one line for each block element, runs of blanks as one space."""
     page = TAG.sub("", BREAK.sub("\n", DROP.sub(" ", page)))
@@ -83,13 +139,16 @@ def decoded(payload: bytes, content_type: str) -> str:
 def derive(record_id: str, target: str | None, date: str | None, payload_digest: str | None, block: bytes) -> list[tuple]:
     status, headers, payload = split_http(block)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "text/html")
-    page = decoded(payload, kind)
+    body, unknown = body_of(headers, payload)
+    page = decoded(body, kind)
     source_payload = payload_digest or digest(payload)
     is_html = "html" in kind.lower()
     title = TITLE.search(page) if is_html else None
     fields = [("http-status", status)] if status else []
     fields += [(f"http-header-{k.lower()}", v) for k, v in headers]
     fields += [("source-block-digest", digest(block)), ("source-payload-digest", source_payload), ("source-payload-length", str(len(payload)))]
+    if unknown:
+        fields.append(("content-encoding-kept", unknown))
     if title:
         fields.append(("title", " ".join(html.unescape(title[1]).split())))
     if is_html:
