@@ -14,7 +14,8 @@ members are indexed again under every way to blank ``max_bits`` of 64 bits, whic
 ``2 ** max_bits`` members.  Both ways are exact.
 
 Null, empty and blank texts have no words and the fingerprint zero, which links like any other.  A text with fewer
-words than a shingle is one shingle.  Repeated rows each get a row.  An empty table gives an empty result.
+words than a shingle is one shingle; a very long one is hashed in parts.  Repeated rows each get a row.  Other columns
+stay, and added ones take other names where they clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_dedup
 from .common import connected_components, fresh, give_back, modest_batches, stored
 
 SEED = 42
@@ -178,8 +180,9 @@ def components(marked: DataFrame, fp_col: str, id_col: str, max_bits: int = 2, g
     """(fp, root, component): for each fingerprint in ``marked`` the least fingerprint and the smallest id it reaches."""
     least = marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"))
     roots = connected_components(links(least.select("fp"), max_bits, group_cap))
-    placed = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = placed.groupBy("root").agg(F.min("least").alias("component"))
+    placed = stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-placed")
+    # stored, so that the join of one very large component can be split
+    named = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "simhash-names")
     return placed.join(named, "root").select("fp", "root", "component")
 
 
@@ -195,11 +198,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, marked[fp_col] == of[key], "left").drop(key)
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each component, the one with the smallest id (of repeated rows, one); the columns of ``docs``.
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = 0.8, max_bits: int = 2) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id (of repeated rows, one); the columns of
+    ``docs``.
 
-    Rows with a null id are kept only where no row of their component has an id.
+    With a ``similarity``, texts are linked that share that much of their shingles; their fingerprints lie so many
+    bits apart that no index of deletion variants finds them, so candidates come from ``near_dedup``.  With None,
+    fingerprints at ``max_bits`` or fewer are.  Rows with a null id are kept only where no row of their component has
+    an id.
     """
+    if similarity is not None:
+        return near_dedup.first_of_each(docs, id_col, text_col, shingle, similarity)
     fp_col, row_col = fresh(docs, "fingerprint", "row_number")
     marked = stored(with_fingerprints(docs, text_col, fp_col, shingle).withColumn(row_col, F.monotonically_increasing_id()), "simhash")
     of = components(marked, fp_col, id_col, max_bits)
