@@ -13,8 +13,9 @@ the segments seen.
 Decoding joins the pieces; space marks become spaces and the one in front goes.  A space mark in the text itself is
 written as bytes, so that every text comes back unchanged if the vocabulary has byte pieces.
 
-Null texts have null ids and decode to null; empty texts have no ids.  Repeated rows each get a row; columns stay,
-and added ones take other names where they clash.
+Null texts have null ids and decode to null; empty texts have no ids.  A very long text is cut like any other, its
+pieces are one row.  Repeated rows each get a row; columns stay, and added ones take other names where they clash.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

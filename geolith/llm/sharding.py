@@ -9,9 +9,13 @@ ends of ``16 ** digits`` hash ranges, and then, wherever a decision falls betwee
 more from there.  It decides again until every decision at the capacity found, and at one byte less, rests on totals
 with none unknown between them; the result is then that of the whole list.
 
+Rows are numbered in cells: a hash range of one shard, cut by a hash of id and text into as many salts as the largest
+group needs for cells of about ``cell_rows`` rows.
+
 Null texts are a group of their own, sizes as of an empty text.  A document's size is its UTF-8 bytes plus
-``overhead``.  With fewer groups than shards some shards stay empty.  Repeated rows are documents of their own.  An
-empty table gives an empty result.
+``overhead``; a very long text is one row.  With fewer groups than shards some shards stay empty.  Repeated rows are
+documents of their own, in one cell where their ids are equal too.  Other columns, whatever their names, are left out.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,11 +120,10 @@ def decide(groups: DataFrame, known: list[int], shards: int, cells: int = 512) -
         t = Totals([*t.known, *[r["first"] for r in rows], *[r["top"] for r in rows]], t.whole | whole)
 
 
-def assigned(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, digits: int = 3, salts: int = 32) -> DataFrame:
+def assigned(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, digits: int = 3, cell_rows: int = 50_000) -> DataFrame:
     """``docs``' other columns are dropped: (id, size, text_crc32, shard, slot), a row for each row.
 
-    Slots count from 0 in each shard, with none left out.  A document's place comes from its hash range and a salt,
-    so that a group of any size spreads over ``salts`` cells.
+    Slots count from 0 in each shard, with none left out.  A document's place comes from its hash range and a salt.
     """
     text = F.col(text_col)
     key = F.coalesce(F.sha2(text, 256), F.lit(""))
@@ -132,9 +135,11 @@ def assigned(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col
     )
     rows = stored(rows, "sharding-rows")
     span = F.coalesce(F.conv(F.nullif(F.substring("key", 1, digits), F.lit("")), 16, 10).cast("int"), F.lit(0))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size")).withColumn("span", span)
+    groups = rows.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).withColumn("span", span)
     groups = stored(groups, "sharding-groups")
-    sums = {r["span"]: r["size"] for r in groups.groupBy("span").agg(F.sum("size").alias("size")).collect()}  # 16 ** digits at most
+    spans = groups.groupBy("span").agg(F.sum("size").alias("size"), F.max("n").alias("n")).collect()  # 16 ** digits at most
+    sums = {r["span"]: r["size"] for r in spans}
+    salts = max(32, -(-max((r["n"] for r in spans), default=0) // cell_rows))
     before, so_far = {}, 0
     for s in sorted(sums):
         before[s] = so_far

@@ -15,8 +15,9 @@ of up to ``max_fit_bytes`` bytes, less copies.  Scoring takes every whole text.
 
 Null, empty and wordless texts have no tokens and score what the fit gives for none.  Labels with a null id or
 class are left out; an id labelled more than once is toxic if any of its labels is.  With no labels of a class, or
-none at all, every score is the share of toxic labels (0 with none).  Repeated rows each get a row; other columns
-stay, and added ones take other names where they clash.
+none at all, every score is the share of toxic labels (0 with none).  A very long text is scored whole, in segments.
+Repeated rows each get a row; other columns stay, and added ones take other names where they clash.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
