@@ -150,12 +150,78 @@ def area_m2(coords: Column | str, box: str = "bbox") -> Column:
 
 
 def filled(coords: Column | str) -> Column:
-    """``coords`` with places that are not known taken from the one before, else from the next that is known."""
+    """``coords`` with places that are not known taken from the one before, else from the next that is known.
+
+    Known places get the numbers of the runs that they begin, so each place is looked up, not carried along.
+    """
 
     def carry(c: Column) -> Column:
-        start = F.array().cast("array<struct<x:bigint,y:bigint>>")
-        return F.aggregate(c, start, lambda t, x: F.concat(t, F.array(F.when(x["x"].isNotNull(), x).otherwise(F.try_element_at(t, F.lit(-1))))))
+        known = F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("c"))), lambda x: x["c"]["x"].isNotNull())
+
+        def runs(k: Column) -> Column:
+            ends = F.concat(F.transform(F.slice(k, 2, F.size(k)), lambda x: x["i"]), F.array(F.size(c)))
+            first = F.try_element_at(k, F.lit(1))
+            head = F.array_repeat(first["c"], first["i"])
+            own = F.zip_with(k, ends, lambda x, end: F.array_repeat(x["c"], end - x["i"]))
+            return F.when(F.size(k) == 0, c).otherwise(F.concat(head, F.flatten(own)))
+
+        return F.element_at(F.transform(F.array(known), runs), 1)
 
     c = col(coords)
     whole = F.forall(c, lambda x: x["x"].isNotNull())
-    return F.when(whole, c).otherwise(F.reverse(carry(F.reverse(carry(c)))))
+    return F.when(whole, c).otherwise(carry(c))
+
+
+def segment_tiles(a: Column, b: Column, zoom: int) -> Column:
+    """The tiles (col, row) that a segment passes: in each column of tiles, the rows between where it enters and leaves."""
+    low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+    size = 1 << 32 - zoom
+
+    def y_at_x(x: Column) -> Column:
+        return F.when(a["x"] == b["x"], a["y"].cast("double")).otherwise(a["y"] + (x - a["x"]).cast("double") * (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0)))
+
+    def rows(c: Column) -> Column:
+        left = F.greatest(low, c.cast("long") * size - HALF)
+        right = F.least(high, (c.cast("long") + 1) * size - HALF - 1)
+        y1 = F.when(a["x"] == b["x"], a["y"].cast("double")).otherwise(y_at_x(left))
+        y2 = F.when(a["x"] == b["x"], b["y"].cast("double")).otherwise(y_at_x(right))
+        first, last = tile_row(F.ceil(F.greatest(y1, y2)), zoom), tile_row(F.floor(F.least(y1, y2)), zoom)
+        return F.transform(F.sequence(first, last), lambda r: F.struct(c.alias("col"), r.alias("row")))
+
+    return F.flatten(F.transform(F.sequence(tile_column(low, zoom), tile_column(high, zoom)), rows))
+
+
+def line_tiles(coords: Column | str, zoom: int) -> Column:
+    """The tiles (col, row) that a line passes, each once, in order."""
+    c = col(coords)
+    one = F.transform(F.slice(c, 1, 1), lambda p: F.struct(tile_column(p["x"], zoom).alias("col"), tile_row(p["y"], zoom).alias("row")))
+    return F.array_sort(F.array_distinct(F.concat(one, F.flatten(segments(c, lambda a, b: segment_tiles(a, b, zoom))))))
+
+
+def box_tiles(box: Column | str, zoom: int) -> Column:
+    """The tiles (col, row) that a box meets."""
+    b = col(box)
+    columns = F.sequence(tile_column(b["minx"], zoom), tile_column(b["maxx"], zoom))
+    rows = F.sequence(tile_row(b["maxy"], zoom), tile_row(b["miny"], zoom))
+    return F.flatten(F.transform(columns, lambda c: F.transform(rows, lambda r: F.struct(c.alias("col"), r.alias("row")))))
+
+
+def box_union(a: Column, b: Column) -> Column:
+    """The box around both; one that is null adds nothing."""
+    low = [F.least(a[c], b[c]).alias(c) for c in ("minx", "miny")]
+    high = [F.greatest(a[c], b[c]).alias(c) for c in ("maxx", "maxy")]
+    return F.struct(*low, *high)
+
+
+def box_intersection(a: Column, b: Column) -> Column:
+    """What both boxes cover; null where they do not meet."""
+    low = [F.greatest(a[c], b[c]).alias(c) for c in ("minx", "miny")]
+    high = [F.least(a[c], b[c]).alias(c) for c in ("maxx", "maxy")]
+    meet = (a["minx"] <= b["maxx"]) & (b["minx"] <= a["maxx"]) & (a["miny"] <= b["maxy"]) & (b["miny"] <= a["maxy"])
+    return F.when(meet, F.struct(*low, *high))
+
+
+def neighbour(column: Column, row: Column, zoom: int, east: int, south: int) -> Column:
+    """struct(col, row) of the tile so many columns east and rows south; columns go round the world, rows end."""
+    n = 1 << zoom
+    return F.when((row + south >= 0) & (row + south < n), F.struct(F.pmod(column + east, F.lit(n)).cast("int").alias("col"), (row + south).cast("int").alias("row")))

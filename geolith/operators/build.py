@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,17 +9,7 @@ from pyspark.sql import functions as F
 from geolith import model
 from geolith.functions import geo
 from geolith.functions import tags as T
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the shared checkpoint folder; as it is where the session names none."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        return df.persist()
-    path = f"{where.rstrip('/')}/build-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from geolith.work import deleted, stored, stored_at
 
 
 # --- ways
@@ -36,12 +24,14 @@ def way_geometry(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("way_id", F.transform("own", lambda c: c["node_id"]).alias("node_ids"), geo.filled(raw).alias("coords"), "n_known")
 
 
-def way_features(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(type, id, kind, is_area, tags, node_ids, coords, bbox) of the ways with two nodes or more, one of them known."""
+def way_features(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(type, id, kind, is_area, tags, node_ids, coords, bbox, parents) of the ways with two nodes or more, one of them
+    known.  ``up``: ``parents``; they are joined to the tags, by the key that the coordinates then come by."""
     shaped = way_geometry(way_nodes, nodes).where((F.size("node_ids") >= 2) & (F.col("n_known") > 0))
-    out = ways.join(shaped, ways["id"] == shaped["way_id"]).withColumn("bbox", geo.coords_box("coords"))
+    own = with_parents(ways, up, "W")
+    out = own.join(shaped, own["id"] == shaped["way_id"]).withColumn("bbox", geo.coords_box("coords"))
     area = geo.is_closed("coords") & T.says_area("tags")
-    return out.select(F.lit("W").alias("type"), "id", model.kind_of(F.lit("W"), area).alias("kind"), area.alias("is_area"), "tags", "node_ids", "coords", "bbox")
+    return out.select(F.lit("W").alias("type"), "id", model.kind_of(F.lit("W"), area).alias("kind"), area.alias("is_area"), "tags", "node_ids", "coords", "bbox", "parents")
 
 
 def rejected_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,6 +56,15 @@ def parents(members: DataFrame) -> DataFrame:
     return members.groupBy("type", "id").agg(F.array_sort(F.collect_set("rel_id")).alias("parents"))
 
 
+def with_parents(df: DataFrame, up: DataFrame | None, type_: str) -> DataFrame:
+    """``df`` (id ...) with ``parents``; an empty list for features that no relation has."""
+    none = F.array().cast("array<bigint>")
+    if up is None:
+        return df.withColumn("parents", none)
+    own = up.where(F.col("type") == type_).select("id", F.col("parents").alias("up"))
+    return df.join(own, "id", "left").select(*df.columns, F.coalesce("up", none).alias("parents"))
+
+
 def missing(members: DataFrame, features: DataFrame) -> DataFrame:
     """(type, id): members that no feature is."""
     return members.select("type", "id").distinct().join(features.select("type", "id"), ["type", "id"], "left_anti")
@@ -86,59 +85,99 @@ def empty_relations(relations: DataFrame, members: DataFrame) -> DataFrame:
     return bare.join(used, "id", "left").select("id", F.coalesce("is_kept", F.lit(False)).alias("is_kept"))
 
 
-def member_closure(members: DataFrame, max_depth: int = 50) -> DataFrame:
+def member_closure(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(rel_id, type, id): every feature that a relation reaches through relations; cycles end where they close.
 
-    Each round joins the pairs found last with the members of relations and drops what is known, so work ends with the
-    deepest chain and never repeats around a cycle.
+    ``roots`` (rel_id): only what these reach.  Each round joins the pairs found last with the members of relations and
+    drops what is known, so work ends with the deepest chain, however deep, and never repeats around a cycle.
     """
-    own = checkpointed(clean_members(members).select("rel_id", "type", "id").distinct())
-    steps = own.where("type = 'R'").select(F.col("rel_id").alias("root"), F.col("id").alias("via"))
-    last, all_found = steps, [own]
-    reach = own
-    for _ in range(max_depth):
-        more = last.join(own, last["via"] == own["rel_id"]).select(F.col("root").alias("rel_id"), "type", "id").distinct()
-        more = checkpointed(more.join(reach, ["rel_id", "type", "id"], "left_anti"))
+    own = stored(clean_members(members).select("rel_id", "type", "id").distinct(), "closure")
+    reach = own if roots is None else stored(own.join(roots.select("rel_id").distinct(), "rel_id", "left_semi"), "closure")
+    last, parts = reach, 1
+    while True:
+        via = last.where("type = 'R'").select(F.col("rel_id").alias("root"), F.col("id").alias("via"))
+        more = via.join(own, via["via"] == own["rel_id"]).select(F.col("root").alias("rel_id"), "type", "id").distinct()
+        more = stored(more.join(reach, ["rel_id", "type", "id"], "left_anti"), "closure")
         if more.isEmpty():
             return reach
-        all_found.append(more)
-        reach = checkpointed(reach.union(more)) if len(all_found) % 5 == 0 else reach.union(more)
-        last = more.where("type = 'R'").select(F.col("rel_id").alias("root"), F.col("id").alias("via"))
-    raise RuntimeError(f"relations nest deeper than {max_depth}")
+        parts += 1
+        reach = reach.union(more) if parts % 8 else stored(reach.union(more), "closure")
+        last = more
 
 
-def relation_bounds(members: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(rel_id, bbox): around all that a relation reaches.  ``boxes``: (type, id, bbox) of nodes and ways."""
-    reach = member_closure(members).where("type != 'R'")
-    b = F.col("bbox")
-    around = F.struct(F.min(b["minx"]).alias("minx"), F.min(b["miny"]).alias("miny"), F.max(b["maxx"]).alias("maxx"), F.max(b["maxy"]).alias("maxy"))
-    return reach.join(boxes.select("type", "id", "bbox"), ["type", "id"]).groupBy("rel_id").agg(around.alias("bbox"))
+def reached(members: DataFrame, start: DataFrame) -> DataFrame:
+    """(type, id): ``start`` (type, id) and all that its relations reach, each once.
+
+    Only relations that were not met before are followed; which of the start reaches what is not kept.
+    """
+    own = clean_members(members).select("rel_id", "type", "id")
+    found = stored(start.select("type", "id").distinct(), "reached")
+    last, parts = found, 1
+    while True:
+        at = last.where("type = 'R'").select(F.col("id").alias("rel_id"))
+        more = stored(own.join(at, "rel_id", "left_semi").select("type", "id").distinct().join(found, ["type", "id"], "left_anti"), "reached")
+        if more.isEmpty():
+            return found
+        parts += 1
+        found = found.union(more) if parts % 8 else stored(found.union(more), "reached")
+        last = more
+
+
+BOX_FIELDS = ("minx", "miny", "maxx", "maxy")
 
 
-def relation_features(relations: DataFrame, members: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(type, id, kind, is_area, tags, members, bbox); an ``outer`` member makes an area."""
+def boxes_around(box: str = "bbox") -> list[Column]:
+    b = F.col(box)
+    return [F.min(b["minx"]).alias("minx"), F.min(b["miny"]).alias("miny"), F.max(b["maxx"]).alias("maxx"), F.max(b["maxy"]).alias("maxy")]
+
+
+def relation_bounds(members: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(rel_id, bbox): around all that a relation reaches.  ``boxes``: (type, id, bbox) of nodes and ways.
+
+    Each relation's box goes up to the relations that have it, as long as boxes grow: a row for each relation, never
+    one for each that it reaches.  Cycles end as boxes stop to grow.
+    """
+    spark = members.sparkSession
+    own = clean_members(members)
+    links = stored(own.where("type = 'R'").select("rel_id", F.col("id").alias("child")).distinct(), "bounds-links")
+    direct = own.where("type != 'R'").select("rel_id", "type", "id").join(boxes.where("bbox is not null").select("type", "id", "bbox"), ["type", "id"])
+    now, path = stored_at(direct.groupBy("rel_id").agg(*boxes_around()).select("*", F.lit(True).alias("is_new")), "bounds")
+    while True:
+        grown = now.where("is_new").select(F.col("rel_id").alias("child"), F.struct(*BOX_FIELDS).alias("bbox"))
+        more = links.join(grown, "child").groupBy("rel_id").agg(*boxes_around()).toDF("rel_id", *[f"new_{c}" for c in BOX_FIELDS])
+        low = [F.least(c, f"new_{c}").alias(c) for c in BOX_FIELDS[:2]]
+        high = [F.greatest(c, f"new_{c}").alias(c) for c in BOX_FIELDS[2:]]
+        same = F.lit(True)
+        for c, whole in zip(BOX_FIELDS, (*low, *high)):
+            same = same & whole.eqNullSafe(F.col(c))
+        both = now.join(more, "rel_id", "full_outer").select("rel_id", *low, *high, (~same).alias("is_new"))
+        after, after_path = stored_at(both, "bounds")
+        deleted(spark, path)
+        now, path = after, after_path
+        if now.where("is_new").isEmpty():
+            return now.select("rel_id", F.struct(*BOX_FIELDS).alias("bbox"))
+
+
+def relation_features(relations: DataFrame, members: DataFrame, boxes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(type, id, kind, is_area, tags, members, bbox, parents); an ``outer`` member makes an area."""
     own = clean_members(members)
     listed = own.groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("pos", "type", "id", "role"))).alias("m"))
     listed = listed.select("rel_id", F.transform("m", lambda c: F.struct(c["type"].alias("type"), c["id"].alias("id"), c["role"].alias("role"))).alias("members"))
     bounds = relation_bounds(own, boxes).withColumnRenamed("rel_id", "box_id")
-    out = relations.join(listed, relations["id"] == listed["rel_id"], "left").join(bounds, relations["id"] == bounds["box_id"], "left")
+    base = with_parents(relations, up, "R")
+    out = base.join(listed, base["id"] == listed["rel_id"], "left").join(bounds, base["id"] == bounds["box_id"], "left")
     rows = F.coalesce("members", F.array().cast(model.MEMBERS))
     area = F.exists(rows, lambda m: m["role"] == "outer")
-    return out.select(F.lit("R").alias("type"), "id", model.kind_of(F.lit("R"), area).alias("kind"), area.alias("is_area"), "tags", rows.alias("members"), "bbox")
+    return out.select(F.lit("R").alias("type"), "id", model.kind_of(F.lit("R"), area).alias("kind"), area.alias("is_area"), "tags", rows.alias("members"), "bbox", "parents")
 
 
 # --- nodes
 
 
-def node_features(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """Nodes with tags, and those that are members; the others are only places of ways."""
-    own = nodes.withColumn("type", F.lit("N"))
-    if members is None:
-        kept = own.where(F.size("tags") > 0)
-    else:
-        used = members.where("type = 'N'").select("id").distinct().withColumn("is_member", F.lit(True))
-        kept = own.join(used, "id", "left").where((F.size("tags") > 0) | F.col("is_member"))
-    return kept.select("type", "id", F.lit("n").alias("kind"), F.lit(False).alias("is_area"), "tags", "x", "y", "lon", "lat")
+def node_features(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """Nodes with tags, and those that are members (``up``: ``parents``); the others are only places of ways."""
+    own = with_parents(nodes.withColumn("type", F.lit("N")), up, "N").where((F.size("tags") > 0) | (F.size("parents") > 0))
+    return own.select("type", "id", F.lit("n").alias("kind"), F.lit(False).alias("is_area"), "tags", "x", "y", "lon", "lat", "parents")
 
 
 def checked_nodes(nodes: DataFrame, way_nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -166,25 +205,40 @@ def with_check_tags(checked: DataFrame, prefix: str = model.CHECK_KEY) -> DataFr
 
 
 def features(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, members: DataFrame, indexed=T.INDEXED_KEYS, check: bool = False) -> DataFrame:
-    """The feature table; members that nothing is stand in it as missing."""
+    """The feature table; members that nothing is stand in it as missing.
+
+    Nodes and ways are stored once: relations need their boxes, and which members are missing their ids.
+    """
     if check:
         nodes = with_check_tags(checked_nodes(nodes, way_nodes, members))
     own = clean_members(members)
-    n = model.feature_rows(node_features(nodes, own), indexed)
-    w = model.feature_rows(way_features(ways, way_nodes, nodes), indexed)
+    up = stored(parents(own), "parents")
+    n = stored(model.feature_rows(node_features(nodes, up), indexed), "nodes")
+    w = stored(model.feature_rows(way_features(ways, way_nodes, nodes, up), indexed), "ways")
     boxes = n.select("type", "id", "bbox").union(w.select("type", "id", "bbox"))
-    r = model.feature_rows(relation_features(relations, own, boxes), indexed)
-    known = n.union(w).union(r)
-    gone = missing(own, known)
+    r = model.feature_rows(relation_features(relations, own, boxes, up), indexed)
+    known = n.select("type", "id").union(w.select("type", "id")).union(relations.select(F.lit("R"), "id"))
+    gone = up.join(known, ["type", "id"], "left_anti")
     tags = F.create_map(F.lit(model.CHECK_KEY + "missing"), F.lit("yes"))
-    m = model.feature_rows(gone.select("type", "id", model.kind_of(F.col("type"), F.lit(False)).alias("kind"), F.lit(False).alias("is_area"), tags.alias("tags"), F.lit(None).cast(model.BOX).alias("bbox"), F.lit(True).alias("is_missing")), indexed)
-    up = parents(own).withColumnRenamed("parents", "p")
-    return known.union(m).join(up, ["type", "id"], "left").withColumn("parents", F.coalesce("p", F.array().cast("array<bigint>"))).select(*model.COLUMNS)
+    m = model.feature_rows(gone.select("type", "id", model.kind_of(F.col("type"), F.lit(False)).alias("kind"), F.lit(False).alias("is_area"), tags.alias("tags"), F.lit(None).cast(model.BOX).alias("bbox"), "parents", F.lit(True).alias("is_missing")), indexed)
+    return n.union(w).union(r).union(m)
 
 
 # --- tiles
 
 
+def tile_sets(features: DataFrame, zoom: int = 12) -> DataFrame:
+    """(type, id, tiles): the tiles (col, row) that nodes lie in, that ways pass and that relations have through all
+    their members."""
+    own = features.where("not is_missing")
+    point = F.array(F.struct(geo.tile_column("x", zoom).alias("col"), geo.tile_row("y", zoom).alias("row")))
+    parts = own.where("type = 'N'").select("type", "id", point.alias("tiles")).union(own.where("type = 'W'").select("type", "id", geo.line_tiles("coords", zoom).alias("tiles")))
+    parts = stored(parts, "tile-sets")
+    members = own.where("type = 'R'").select(F.col("id").alias("rel_id"), F.explode("members").alias("m")).select("rel_id", "m.type", "m.id")
+    below = member_closure(members).where("type != 'R'").join(parts, ["type", "id"]).select("rel_id", F.explode("tiles").alias("t")).distinct()
+    return parts.union(below.groupBy(F.lit("R").alias("type"), F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list("t")).alias("tiles")).select("type", "id", "tiles"))
+
+
 def node_density(nodes: DataFrame, zoom: int = 12) -> DataFrame:
     """(col, row, n) of the tiles with nodes."""
     return nodes.groupBy(geo.tile_column("x", zoom).alias("col"), geo.tile_row("y", zoom).alias("row")).agg(F.count("*").alias("n"))
@@ -210,12 +264,15 @@ def deepest_tile(points: DataFrame, tiles: DataFrame, zooms=(0, 3, 6, 9, 12)) ->
     return out.withColumn("found_tile", found).select(*points.columns, F.col("found_tile.zoom").alias("tile_zoom"), F.col("found_tile.col").alias("tile_col"), F.col("found_tile.row").alias("tile_row"))
 
 
-def key_buckets(features: DataFrame, most: int = 6, least_features: int = 300) -> DataFrame:
+def key_buckets(features: DataFrame, most: int = 6, least_features: int = 300, single: bool = False) -> DataFrame:
     """(tile, kind, key_bits, bucket, n): in each tile and kind the ``most - 1`` largest key groups of
-    ``least_features`` or more have a bucket of their own, the others share ``mixed``."""
+    ``least_features`` or more have a bucket of their own, the others share ``mixed``.
+
+    ``single`` (the newer scheme): features of several categories are ``mixed`` from the start."""
     groups = features.groupBy("tile", "kind", "key_bits").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("tile", "kind").orderBy(F.desc("n"), "key_bits"))
-    own = (rank <= max(1, most - 1)) & (F.col("n") >= least_features)
+    one = F.bit_count("key_bits") <= 1 if single else F.lit(True)
+    rank = F.row_number().over(W.partitionBy("tile", "kind").orderBy(~one, F.desc("n"), "key_bits"))
+    own = (rank <= max(1, most - 1)) & (F.col("n") >= least_features) & one
     return groups.withColumn("bucket", F.when(own, F.col("key_bits").cast("string")).otherwise("mixed"))
 
 

@@ -22,6 +22,23 @@ def latest(changes: DataFrame) -> DataFrame:
     return out.withColumn("change", change).select(*changes.columns)
 
 
+def of_existing(changes: DataFrame) -> DataFrame:
+    """The changes of features that were there before: those of a first version have nothing to be looked up."""
+    return changes.where("version != 1")
+
+
+def by_way(way_nodes: DataFrame) -> DataFrame:
+    """(way_id, node_ids) in the order of ways: the way-node index of libraries that can be updated."""
+    listed = way_nodes.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id"))).alias("own"))
+    return listed.select("way_id", F.transform("own", lambda c: c["node_id"]).alias("node_ids")).orderBy("way_id")
+
+
+def ways_of_interest(index: DataFrame, moved: DataFrame) -> DataFrame:
+    """(way_id): ways of a stored way-node index with a node of ``moved`` (id)."""
+    each = index.select("way_id", F.explode("node_ids").alias("id"))
+    return each.join(moved.select("id"), "id", "left_semi").select("way_id").distinct()
+
+
 def apply_to_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """``nodes`` (id, lon, lat, x, y, tags) after ``changes``: deleted ones go, the others take the newest values."""
     now = latest(changes.where("type = 'N'"))

@@ -7,20 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geolith.functions import geo
-from geolith.operators.build import member_closure
+from geolith.operators.build import reached
+from geolith.work import stored
 
 
 def referenced(selected: DataFrame, members: DataFrame, way_nodes: DataFrame) -> DataFrame:
     """(type, id): the selection, the members of its relations however deep, and the nodes of all ways; each once."""
-    own = selected.select("type", "id")
-    roots = own.where("type = 'R'").select(F.col("id").alias("rel_id"))
-    below = member_closure(members).join(roots, "rel_id", "left_semi").select("type", "id")
-    found = own.union(below).distinct()
+    found = reached(members, selected)
     ways = found.where("type = 'W'").select(F.col("id").alias("way_id"))
     nodes = way_nodes.join(ways, "way_id", "left_semi").select(F.lit("N").alias("type"), F.col("node_id").alias("id"))
     return found.union(nodes).distinct()
 
 
+def with_references(features: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, places): the selection with all that it refers to, and the places (id, x, y) of ways' nodes that are
+    no features, so that a file of both refers to nothing outside."""
+    own = features.where("not is_missing")
+    members = own.where("type = 'R'").select(F.col("id").alias("rel_id"), F.explode("members").alias("m")).select("rel_id", "m.type", "m.id")
+    found = stored(reached(members, selected), "references")
+    whole = own.join(found, ["type", "id"], "left_semi").select(*features.columns)
+    each = whole.where("type = 'W'").select(F.explode(F.arrays_zip("node_ids", "coords")).alias("z")).select(F.col("z.node_ids").alias("id"), "z.coords.x", "z.coords.y")
+    nodes = each.groupBy("id").agg(F.min(F.struct("x", "y")).alias("c")).select("id", "c.x", "c.y")
+    more = own.where("type = 'N'").join(nodes.select("id"), "id", "left_semi").select(*features.columns)
+    points = whole.where("type = 'N'").union(more).dropDuplicates(["id"])
+    places = nodes.join(own.where("type = 'N'").select("id"), "id", "left_anti")
+    return points.union(whole.where("type != 'N'")), places
+
+
 def synthetic_ids(places: DataFrame, after: int, zoom: int = 12) -> DataFrame:
     """(x, y, id): ids from ``after + 1`` on for distinct places, in order of x and y, with none left out.
 

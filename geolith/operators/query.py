@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,22 @@ def inside(px: np.ndarray, py: np.ndarray, area: list) -> np.ndarray:
     return out
 
 
-def crosses(xs: np.ndarray, ys: np.ndarray, area: list) -> bool:
-    """Whether a line meets an edge of the area."""
-    ax, ay, bx, by = xs[:-1], ys[:-1], xs[1:], ys[1:]
+def by_row(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether any value of each row is true; rows have a value at least."""
+    return np.logical_or.reduceat(values, begin) if len(begin) else np.zeros(0, bool)
+
+
+def lines_meet(x: np.ndarray, y: np.ndarray, size: np.ndarray, closed: np.ndarray, area: list) -> np.ndarray:
+    """Whether each line (so many points in a row, one at least) meets the area; closed ones also by what they hold.
+
+    All points and all segments of all lines meet each edge of the area at once.
+    """
+    begin = np.cumsum(size) - size
+    hit = by_row(inside(x, y, area), begin)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(row[:-1] == row[1:])
+    ax, ay, bx, by = x[at], y[at], x[at + 1], y[at + 1]
+    met = np.zeros(len(at), bool)
     for rings in area:
         for ring in rings:
             for (cx, cy), (dx, dy) in zip(ring, ring[1:] + ring[:1]):
@@ -61,43 +75,84 @@ def crosses(xs: np.ndarray, ys: np.ndarray, area: list) -> bool:
                 s2 = np.sign((dx - cx) * (by - cy) - (dy - cy) * (bx - cx))
                 s3 = np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
                 s4 = np.sign((bx - ax) * (dy - ay) - (by - ay) * (dx - ax))
-                if ((s1 != s2) & (s3 != s4)).any():
-                    return True
-    return False
+                met |= (s1 != s2) & (s3 != s4)
+    hit[row[at[met]]] = True
+    for rings in area:  # an area around a whole polygon holds its first point
+        px, py = rings[0][0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odd = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+        times = np.bincount(row[at], weights=odd, minlength=len(size))
+        hit |= closed & (times % 2 == 1)
+    return hit
+
+
+def batch_meets(batch: pa.RecordBatch, area: list) -> np.ndarray:
+    """Which features (type, x, y, coords, is_area, bbox) of a batch meet the area."""
+    n = batch.num_rows
+    out = np.zeros(n, bool)
+    is_node = pc.fill_null(pc.equal(batch.column("type"), "N"), False).to_numpy(zero_copy_only=False)
+    coords = batch.column("coords")
+    size = pc.fill_null(pc.list_value_length(coords), 0).to_numpy(zero_copy_only=False)
+    has_box = pc.is_valid(batch.column("bbox")).to_numpy(zero_copy_only=False)
+
+    def numbers(column) -> np.ndarray:
+        return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(float)
+
+    if is_node.any():
+        out[is_node] = inside(numbers(batch.column("x"))[is_node], numbers(batch.column("y"))[is_node], area)
+    own = ~is_node & (size > 0)
+    if own.any():
+        flat = coords.filter(pa.array(own)).flatten()
+        closed = pc.fill_null(batch.column("is_area"), False).to_numpy(zero_copy_only=False)
+        out[own] = lines_meet(numbers(flat.field("x")), numbers(flat.field("y")), size[own].astype(np.int64), closed[own], area)
+    rest = ~is_node & (size == 0) & has_box
+    if rest.any():  # by the corners of the box
+        box = batch.column("bbox").filter(pa.array(rest))
+        x0, y0, x1, y1 = (numbers(box.field(c)) for c in ("minx", "miny", "maxx", "maxy"))
+        x, y = np.stack((x0, x1, x1, x0, x0), 1).ravel(), np.stack((y0, y0, y1, y1, y0), 1).ravel()
+        k = int(rest.sum())
+        out[rest] = lines_meet(x, y, np.full(k, 5), np.ones(k, bool), area)
+    return out
 
 
 def meets(features: DataFrame, area: list) -> DataFrame:
     """Exact test of points and lines; an area feature also counts if the polygon lies inside it, and features without
     coordinates (relations) count by their box."""
-    at = features.columns.index("type"), features.columns.index("x"), features.columns.index("y"), features.columns.index("coords"), features.columns.index("is_area"), features.columns.index("bbox")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, xs, ys, lines, areas, boxes = (batch.column(k) for k in at)
-            ok = inside(xs.fill_null(0).to_numpy(zero_copy_only=False).astype(float), ys.fill_null(0).to_numpy(zero_copy_only=False).astype(float), area)
-            keep = []
-            for k in range(batch.num_rows):
-                line = lines[k].as_py()
-                if kinds[k].as_py() == "N":
-                    keep.append(bool(ok[k]))
-                elif line:
-                    px, py = np.array([c["x"] for c in line], float), np.array([c["y"] for c in line], float)
-                    hit = bool(inside(px, py, area).any()) or crosses(px, py, area)
-                    if not hit and areas[k].as_py():
-                        sx, sy = area[0][0][0]
-                        hit = bool(inside(np.array([sx], float), np.array([sy], float), [[list(zip(px, py))]])[0])
-                    keep.append(hit)
-                else:
-                    b = boxes[k].as_py()
-                    corners = [(b["minx"], b["miny"]), (b["maxx"], b["miny"]), (b["maxx"], b["maxy"]), (b["minx"], b["maxy"])]
-                    px, py = (np.array([*[c[i] for c in corners], corners[0][i]], float) for i in (0, 1))
-                    sx, sy = area[0][0][0]
-                    keep.append(bool(inside(px, py, area).any()) or crosses(px, py, area) or bool(inside(np.array([sx], float), np.array([sy], float), [[corners]])[0]))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(batch_meets(batch, area)))
 
     return features.mapInArrow(run, features.schema)
 
 
+def spatial_join(areas: DataFrame, features: DataFrame, zoom: int = 8) -> DataFrame:
+    """(area_type, area_id, type, id): the features that meet each of ``areas`` (type, id, bbox, polygons), exactly.
+
+    Both sides are dealt to the tiles that their boxes meet and joined by equal tiles, so nothing is compared with
+    everything; of a pair that shares several tiles, the one with the corner of what both boxes cover counts.
+    """
+    left = areas.where("polygons is not null and bbox is not null").select(F.col("type").alias("area_type"), F.col("id").alias("area_id"), F.col("bbox").alias("area_box"), "polygons").withColumn("tile", F.explode(geo.box_tiles("area_box", zoom)))
+    right = features.where("bbox is not null").select("type", "id", "x", "y", "coords", "is_area", "bbox").withColumn("tile", F.explode(geo.box_tiles("bbox", zoom)))
+    a, b = F.col("area_box"), F.col("bbox")
+    meet = (a["minx"] <= b["maxx"]) & (a["maxx"] >= b["minx"]) & (a["miny"] <= b["maxy"]) & (a["maxy"] >= b["miny"])
+    corner = (F.col("tile.col") == geo.tile_column(F.greatest(a["minx"], b["minx"]), zoom)) & (F.col("tile.row") == geo.tile_row(F.greatest(a["miny"], b["miny"]), zoom))
+    pairs = left.join(right, "tile").where(meet & corner).select("area_type", "area_id", "polygons", "type", "id", "x", "y", "coords", "is_area", "bbox")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            rows: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(batch.column("area_type").to_pylist(), batch.column("area_id").to_pylist())):
+                rows.setdefault(key, []).append(k)
+            for at in rows.values():
+                area = [[[(p["x"], p["y"]) for p in ring[:-1]] for ring in polygon] for polygon in batch.column("polygons")[at[0]].as_py()]
+                keep[at] = batch_meets(batch.take(pa.array(at)), area)
+            yield batch.select(["area_type", "area_id", "type", "id"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "area_type string, area_id bigint, type string, id bigint")
+
+
 def limited(features: DataFrame, n: int = 0) -> DataFrame:
     """The first ``n`` in no particular order; 0 means all."""
     return features.limit(n) if n else features

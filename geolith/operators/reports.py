@@ -92,14 +92,20 @@ def change_report(changes: DataFrame) -> DataFrame:
     return changes.groupBy("type", "change").agg(F.count("*").alias("n"), F.sum(F.size("tags")).alias("tags"), F.countDistinct("user").alias("users"))
 
 
-def change_completeness(changed_ways: DataFrame, changed_nodes: DataFrame) -> DataFrame:
-    """(way_nodes, distinct_way_nodes, ways, complete_ways): complete ways have all their nodes in the change file.
+def change_completeness(changed_ways: DataFrame, changed_nodes: DataFrame, changed_members: DataFrame | None = None) -> DataFrame:
+    """(way_nodes, distinct_way_nodes, ways, complete_ways, members, distinct_members): complete ways have all their
+    nodes in the change file.
 
-    ``changed_ways``: (way_id, node_id)."""
+    ``changed_ways``: (way_id, node_id); ``changed_members``: (rel_id, type, id)."""
     here = changed_nodes.select(F.col("id").alias("node_id")).distinct().withColumn("here", F.lit(1))
     per_way = changed_ways.join(here, "node_id", "left").groupBy("way_id").agg(F.count("*").alias("n"), F.count("here").alias("n_here"))
     a = per_way.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("way_nodes"), F.count("*").alias("ways"), F.count_if(F.col("n") == F.col("n_here")).alias("complete_ways"))
-    return a.withColumn("distinct_way_nodes", changed_ways.agg(F.countDistinct("node_id")).scalar()).select("way_nodes", "distinct_way_nodes", "ways", "complete_ways")
+    a = a.withColumn("distinct_way_nodes", changed_ways.select("node_id").distinct().agg(F.count("*")).scalar())
+    members, distinct = F.lit(0).cast("long"), F.lit(0).cast("long")
+    if changed_members is not None:
+        members = changed_members.agg(F.count("*")).scalar()
+        distinct = changed_members.select("type", "id").distinct().agg(F.count("*")).scalar()
+    return a.select("way_nodes", "distinct_way_nodes", "ways", "complete_ways", members.alias("members"), distinct.alias("distinct_members"))
 
 
 def info(features: DataFrame, guid: str, indexed=T.INDEXED_KEYS) -> DataFrame:

@@ -41,31 +41,41 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 ELEMENTS = f"node array<struct<{NODE.replace(' array', ':array').replace(', ', ',').replace(' ', ':')}>>, way array<struct<{WAY.replace(' array', ':array').replace(', ', ',').replace(' ', ':')}>>, relation array<struct<{RELATION.replace(' array', ':array').replace(', ', ',').replace(' ', ':')}>>"
 
 
+FLAT = "struct<type:string,id:bigint,version:int,user:bigint,user_name:string,ts:timestamp,tags:map<string,string>,x:bigint,y:bigint,node_ids:array<bigint>,members:array<struct<type:string,id:bigint,role:string>>>"
+
+
 def flat_changes(blocks: DataFrame, change: str) -> DataFrame:
-    """(change, type, id, version, user, tags, x, y, node_ids, members) of one kind of change blocks."""
-    parts = []
-    for name, type_ in (("node", "N"), ("way", "W"), ("relation", "R")):
-        e = blocks.select(F.explode(name).alias("e"))
-        gone = change == "delete"  # deleted elements carry no tags and no parts
-        parts.append(
-            e.select(
-                F.lit(change).alias("change"),
-                F.lit(type_).alias("type"),
-                F.col("e._id").alias("id"),
-                F.coalesce("e._version", F.lit(1)).alias("version"),
-                F.col("e._uid").alias("user"),
-                (model.no_tags() if gone else tags_of(F.col("e.tag"))).alias("tags"),
-                (geo.x_of("e._lon") if type_ == "N" else F.lit(None).cast("long")).alias("x"),
-                (geo.y_of("e._lat") if type_ == "N" else F.lit(None).cast("long")).alias("y"),
-                (F.transform("e.nd", lambda n: n["_ref"]) if type_ == "W" and not gone else F.lit(None).cast("array<bigint>")).alias("node_ids"),
-                (F.transform("e.member", lambda m: F.struct(letter(m["_type"]).alias("type"), m["_ref"].alias("id"), F.coalesce(m["_role"], F.lit("")).alias("role"))) if type_ == "R" and not gone else F.lit(None).cast(model.MEMBERS)).alias("members"),
-            )
-        )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(change, type, id, version, user, user_name, ts, tags, x, y, node_ids, members) of one kind of change blocks, in
+    one pass over them."""
+    gone = change == "delete"  # deleted elements carry no tags and no parts
+
+    def all_of(name: str, type_: str) -> Column:
+        return F.coalesce(F.transform(name, lambda e: flat(e, type_)), none)
+
+    def flat(e: Column, type_: str) -> Column:
+        node_ids = F.transform(e["nd"], lambda n: n["_ref"]) if type_ == "W" and not gone else F.lit(None)
+        members = F.transform(e["member"], lambda m: F.struct(letter(m["_type"]).alias("type"), m["_ref"].alias("id"), F.coalesce(m["_role"], F.lit("")).alias("role"))) if type_ == "R" and not gone else F.lit(None)
+        return F.struct(
+            F.lit(type_).alias("type"),
+            e["_id"].alias("id"),
+            F.coalesce(e["_version"], F.lit(1)).alias("version"),
+            e["_uid"].alias("user"),
+            e["_user"].alias("user_name"),
+            F.try_to_timestamp(e["_timestamp"]).alias("ts"),
+            (model.no_tags() if gone else tags_of(e["tag"])).alias("tags"),
+            (geo.x_of(e["_lon"]) if type_ == "N" else F.lit(None)).cast("bigint").alias("x"),
+            (geo.y_of(e["_lat"]) if type_ == "N" else F.lit(None)).cast("bigint").alias("y"),
+            node_ids.cast("array<bigint>").alias("node_ids"),
+            members.cast(model.MEMBERS).alias("members"),
+        ).cast(FLAT)
+
+    none = F.array().cast(f"array<{FLAT}>")
+    parts = [all_of("node", "N"), all_of("way", "W"), all_of("relation", "R")]
+    return blocks.select(F.explode(F.concat(*parts)).alias("e")).select(F.lit(change).alias("change"), "e.*")
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """A change file (``.osc`` or ``.osc.gz``), or a folder of them."""
+    """A change file (``.osc`` or ``.osc.gz``), or a folder of them; a pass for each kind of change."""
     out = None
     for change in ("create", "modify", "delete"):
         blocks = spark.read.format("xml").options(rowTag=change).schema(ELEMENTS).load(path)
