@@ -303,7 +303,7 @@ def remove_repeats(
     text_col: str = "text",
     id_col: str = "doc_id",
     window: int = 35,
-    chunks_per_partition: int = 3,
+    chunks_per_partition: int = 4,
     chunk_bytes: int = 32 << 20,
     range_bytes: int = 64 << 20,
 ) -> DataFrame:
