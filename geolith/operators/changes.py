@@ -98,11 +98,13 @@ def added_and_dropped(old: DataFrame, new: DataFrame, key: str = "rel_id") -> Da
     return both.select(key, F.array_sort(F.array_except("b", "a")).alias("added"), F.array_sort(F.array_except("a", "b")).alias("dropped"))
 
 
-def raw_of(features: DataFrame) -> dict[str, DataFrame]:
-    """The raw tables behind a feature table: nodes (those that are only places of ways too), ways, relations and parts."""
+def raw_of(features: DataFrame, index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The raw tables behind a feature table: nodes (those that are only places of ways too), ways, relations and
+    parts.  ``index``: its stored way-node index, if there is one."""
     own = features.where("not is_missing")
     ways, rels = own.where("type = 'W'"), own.where("type = 'R'")
-    way_nodes = ways.select(F.col("id").alias("way_id"), F.posexplode("node_ids").alias("p", "node_id")).select("way_id", (F.col("p") + 1).alias("pos"), "node_id")
+    lists = index if index is not None else ways.select(F.col("id").alias("way_id"), "node_ids")
+    way_nodes = lists.select("way_id", F.posexplode("node_ids").alias("p", "node_id")).select("way_id", (F.col("p") + 1).alias("pos"), "node_id")
     points = own.where("type = 'N'").select("id", "lon", "lat", "x", "y", "tags")
     places = ways.select(F.explode(F.arrays_zip("node_ids", "coords")).alias("z")).groupBy(F.col("z.node_ids").alias("id")).agg(F.min(F.struct("z.coords.x", "z.coords.y")).alias("c"))
     bare = places.join(points.select("id"), "id", "left_anti").select("id", geo.lon_of("c.x").alias("lon"), geo.lat_of("c.y").alias("lat"), "c.x", "c.y", F.create_map().cast("map<string,string>").alias("tags"))

@@ -18,10 +18,18 @@ PSEUDO = ("lon", "lat", "x", "y", "bbox", "geom")
 
 
 def select(features: DataFrame, text: str, indexed=None) -> DataFrame:
-    """The features that a selector matches; with ``indexed`` keys, ``key_bits`` prunes before tags are read."""
+    """The features that a selector matches; with ``indexed`` keys, ``key_bits`` are compared before tags are."""
     return features.where(selector.predicate(text, T.categories(list(indexed)) if indexed else None))
 
 
+def box_of(bbox: str | None = None, area: list | None = None) -> tuple[int, int, int, int] | None:
+    """The bounds of a box literal or of an area, which outranks a box."""
+    if area is not None:
+        points = [p for rings in area for ring in rings for p in ring]
+        return min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)
+    return geo.bbox_of(bbox) if bbox else None
+
+
 def within(features: DataFrame, bbox: str | tuple[int, int, int, int] | None = None, area: list | None = None) -> DataFrame:
     """Features that meet a bounding box or an area; an area outranks a box.
 
@@ -29,9 +37,7 @@ def within(features: DataFrame, bbox: str | tuple[int, int, int, int] | None = N
     runs on what is left, batch by batch.
     """
     if area is not None:
-        points = [p for rings in area for ring in rings for p in ring]
-        box = (min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points))
-        return meets(features.where(geo.overlaps(box)), area)
+        return meets(features.where(geo.overlaps(box_of(area=area))), area)
     if bbox is None:
         return features
     return features.where(geo.overlaps(geo.bbox_of(bbox) if isinstance(bbox, str) else bbox))

@@ -57,12 +57,13 @@ def assembled(outer: list[list[Point]], inner: list[list[Point]]) -> list[list[l
     return shells
 
 
-def with_polygons(features: DataFrame) -> DataFrame:
+def with_polygons(features: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """``features`` with ``polygons``: of areas that are ways their ring, of area relations their assembled polygons,
-    null elsewhere.  A relation's own members meet in one row, as they do in the relation itself."""
+    null elsewhere.  ``library``: where the ways are, if not in ``features`` themselves: only the relations that were
+    selected are assembled then.  A relation's own members meet in one row, as they do in the relation itself."""
     areas = features.where("type = 'R' and is_area").select(F.col("id").alias("rel_id"), F.explode("members").alias("m"))
     parts = areas.where("m.type = 'W'").select("rel_id", F.col("m.id").alias("way_id"), (F.col("m.role") == "inner").alias("is_hole"))
-    lines = features.where("type = 'W' and coords is not null").select(F.col("id").alias("way_id"), "coords")
+    lines = (features if library is None else library).where("type = 'W' and coords is not null").select(F.col("id").alias("way_id"), "coords")
     grouped = parts.join(lines, "way_id").groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("is_hole", "way_id", "coords"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

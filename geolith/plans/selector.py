@@ -101,3 +101,11 @@ def predicate(text: str, category_of: dict[str, int] | None = None) -> Column:
             part = (F.col("key_bits").bitwiseAND(F.lit(bits)) == bits) & part
         out = part if out is None else out | part
     return out
+
+
+def pruning(text: str, category_of: dict[str, int] | None = None) -> tuple[str | None, list[int] | None]:
+    """(kinds, key bits) of what a selector can match: any of the kinds, all bits of any of the numbers; None: all."""
+    parts = parse(text)
+    kinds = "".join(k for k in KINDS if any(k in s.kinds for s in parts))
+    bits = [s.bits(category_of or {}) for s in parts]
+    return None if kinds == KINDS else kinds, None if not all(bits) else bits

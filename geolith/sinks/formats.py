@@ -1,11 +1,13 @@
 """The text formats: a frame (ord, line) of body lines for each, and the lines before and after.
 
-Bodies are built by columns and scale with the data; ``write_text`` puts them out as files, and ``rendered`` gives one
-text for results small enough to be read by people.
+Bodies are built by columns and scale with the data.  ``write_text`` puts them out as files; ``streamed`` gives the
+pieces of one text, however long, with one partition at a time on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from geolith.functions import tags as T
 from geolith.operators.query import PSEUDO, Columns
 
 NAMES = {"N": "node", "W": "way", "R": "relation"}
-FORMATS = ("list", "csv", "fab", "geojson", "geojsonl", "xml", "wkt", "count", "map", "poly", "stats", "table")
+FORMATS = ("list", "csv", "fab", "geojson", "geojsonl", "xml", "wkt", "count", "map", "poly", "stats", "table", "null")
 
 
 def type_name(c: Column) -> Column:
@@ -77,8 +79,9 @@ def wkt_polygons(part) -> Column:
     return F.when(F.size(p) == 1, one).when(F.size(p) > 1, F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(p, body), ", "), F.lit(")")))
 
 
-def geojson_geometry(precision: int = 7, assembled: bool = False) -> Column:
-    """Point, LineString, Polygon, MultiPolygon; relations without polygons get their box, or an empty collection."""
+def geojson_geometry(precision: int = 7, assembled: bool = False, collected: bool = False) -> Column:
+    """Point, LineString, Polygon, MultiPolygon; relations without polygons get the collection of their members if
+    there is a column ``collection``, else their box, or an empty collection."""
     point = F.concat(F.lit('{"type":"Point","coordinates":['), point_text(F.col("x"), F.col("y"), precision, ","), F.lit("]}"))
     line = line_text(F.col("coords"), precision, ",", "[", "]", ",")
     way = F.when(F.col("is_area"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), line, F.lit("]]}"))).otherwise(F.concat(F.lit('{"type":"LineString","coordinates":['), line, F.lit("]}")))
@@ -86,10 +89,25 @@ def geojson_geometry(precision: int = 7, assembled: bool = False) -> Column:
     ring = F.array(*[F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
     box = F.concat(F.lit('{"type":"Polygon","coordinates":[['), line_text(ring, precision, ",", "[", "]", ","), F.lit("]]}"))
     rest = F.when(b.isNotNull(), box).otherwise(F.lit('{"type":"GeometryCollection","geometries":[]}'))
+    if collected:
+        rest = F.coalesce("collection", F.lit('{"type":"GeometryCollection","geometries":[]}'))
     plain = F.when(F.col("type") == "N", point).when(F.col("coords").isNotNull(), way).otherwise(rest)
     return F.coalesce(geojson_polygons(precision), plain) if assembled else plain
 
 
+def with_collections(features: DataFrame, library: DataFrame, precision: int = 7) -> DataFrame:
+    """``features`` with ``collection``: of relations that are no areas, the geometries of their members that are nodes
+    and ways of ``library``, in order; one alone stands for itself."""
+    each = features.where("type = 'R' and not is_area").select(F.col("id").alias("rel_id"), F.posexplode("members").alias("pos", "m")).select("rel_id", "pos", "m.type", "m.id")
+    shapes = library.where("type != 'R' and not is_missing").select("type", "id", geojson_geometry(precision).alias("shape"))
+    listed = each.join(shapes, ["type", "id"]).groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("pos", "shape"))).alias("own"))
+    own = F.transform("own", lambda x: x["shape"])
+    many = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(own, ","), F.lit("]}"))
+    made = listed.select("rel_id", F.when(F.size("own") == 1, own[0]).otherwise(many).alias("collection"))
+    key = F.when((F.col("type") == "R") & ~F.col("is_area"), F.col("id"))
+    return features.join(made, key == F.col("rel_id"), "left").select(*[features[c] for c in features.columns], "collection")
+
+
 def geojson_lines(features: DataFrame, columns: str | None = None, precision: int = 7) -> DataFrame:
     """A compact Feature; ``bbox`` only if the column list has it; keys and values are escaped."""
     c = Columns(columns)
@@ -98,7 +116,7 @@ def geojson_lines(features: DataFrame, columns: str | None = None, precision: in
     box = F.lit("")
     if "bbox" in c.names:
         box = F.coalesce(F.concat(F.lit(',"bbox":['), point_text(b["minx"], b["miny"], precision, ","), F.lit(","), point_text(b["maxx"], b["maxy"], precision, ","), F.lit("]")), F.lit(""))
-    line = F.concat(F.lit('{"type":"Feature","id":"'), F.col("type"), F.col("id").cast("string"), F.lit('"'), box, F.lit(',"geometry":'), geojson_geometry(precision, "polygons" in features.columns), F.lit(',"properties":{'), own, F.lit("}}"))
+    line = F.concat(F.lit('{"type":"Feature","id":"'), F.col("type"), F.col("id").cast("string"), F.lit('"'), box, F.lit(',"geometry":'), geojson_geometry(precision, "polygons" in features.columns, "collection" in features.columns), F.lit(',"properties":{'), own, F.lit("}}"))
     return features.select("type", "id", line.alias("line"))
 
 
@@ -181,60 +199,108 @@ def write_text(features: DataFrame, form: str, path: str, columns: str | None =
     lines(features, form, columns, precision).select("line").write.text(path)
 
 
-def rendered(features: DataFrame, form: str, columns: str | None = None, precision: int = 7, limit: int = 100_000) -> str:
-    """One text, nodes before ways before relations, for up to ``limit`` features; more are an error."""
-    order = F.when(F.col("type") == "N", 0).when(F.col("type") == "W", 1).otherwise(2)
-    rows = lines(features, form, columns, precision).orderBy(order, "id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} features: write them as files")
-    before, after = (csv_header(columns), "") if form == "csv" else FRAMES[form]
-    body = (",\n" if form in ("geojson", "wkt") else "\n").join(r["line"] for r in rows)
-    return "\n".join(x for x in (before, body, after) if x) + "\n"
+def in_order(lines: DataFrame) -> DataFrame:
+    """Nodes before ways before relations, by id."""
+    return lines.orderBy(F.when(F.col("type") == "N", 0).when(F.col("type") == "W", 1).otherwise(2), "id")
 
 
-def table_text(rows: list[tuple], header: list[str], max_width: int = 100) -> str:
-    """An aligned table; numbers to the right, long cells cut."""
-    cells = [["-" if v is None or v == "" else f"{v:,}" if isinstance(v, int) else f"{v:.1%}" if isinstance(v, float) and 0 <= v <= 1 else str(v) for v in r] for r in rows]
-    widths = [max([len(h), *(len(r[k]) for r in cells)]) for k, h in enumerate(header)]
+def streamed(features: DataFrame, form: str, columns: str | None = None, precision: int = 7, places: DataFrame | None = None) -> Iterator[str]:
+    """The pieces of one text of any length.  ``places``: see ``xml_lines``."""
+    body = xml_lines(features, places, precision) if form == "xml" else lines(features, form, columns, precision)
+    before, after = (csv_header(columns), "") if form == "csv" else FRAMES[form]
+    if before:
+        yield before + "\n"
+    between, first = ",\n" if form in ("geojson", "wkt") else "\n", True
+    for row in in_order(body).select("line").toLocalIterator(prefetchPartitions=True):
+        yield row["line"] if first else between + row["line"]
+        first = False
+    if not first:
+        yield "\n"
+    if after:
+        yield after + "\n"
+    elif first and not before:
+        yield "\n"
+
+
+def rendered(features: DataFrame, form: str, columns: str | None = None, precision: int = 7) -> str:
+    """``streamed`` as one text."""
+    return "".join(streamed(features, form, columns, precision))
+
+
+def shown(v) -> str:
+    """Thousands apart; shares as percent with one digit."""
+    if v is None or v == "":
+        return "-"
+    if isinstance(v, int):
+        return f"{v:,}"
+    return f"{v:.1%}" if isinstance(v, float) and 0 <= v <= 1 else str(v)
+
+
+def table_lines(rows: Callable[[], Iterator[tuple]], header: list[str], max_width: int = 100) -> Iterator[str]:
+    """The lines of an aligned table; numbers to the right, long cells cut.  ``rows`` is called twice: once for the
+    widths, once for the lines, so that no more than a row need be held."""
+    widths, right, n = [len(h) for h in header], [True] * len(header), 0
+    for row in rows():
+        n += 1
+        for k, v in enumerate(row):
+            widths[k] = max(widths[k], len(shown(v)))
+            right[k] = right[k] and (v is None or isinstance(v, int | float))
+    right = [r and n > 0 for r in right]
     over = sum(widths) + 2 * (len(widths) - 1) - max_width
     if over > 0 and widths:
         k = max(range(len(widths)), key=widths.__getitem__)
         widths[k] = max(len(header[k]), widths[k] - over)
+
     def cut(x: str, w: int) -> str:
         return x if len(x) <= w else x[: max(0, w - 1)] + "…"
-    right = [bool(rows) and all(isinstance(r[k], int | float) or r[k] is None for r in rows) for k in range(len(header))]
+
     def line(r: list[str]) -> str:
-        return "  ".join(cut(x, w).rjust(w) if a else cut(x, w).ljust(w) for x, w, a in zip(r, widths, right)).rstrip()
-    return "\n".join([line(header), "=" * min(max_width, sum(widths) + 2 * (len(widths) - 1)), *map(line, cells)]) + "\n"
+        return "  ".join(cut(x, w).rjust(w) if a else cut(x, w).ljust(w) for x, w, a in zip(r, widths, right)).rstrip() + "\n"
 
+    yield line(header)
+    yield "=" * min(max_width, sum(widths) + 2 * (len(widths) - 1)) + "\n"
+    for row in rows():
+        yield line([shown(v) for v in row])
 
-def feature_table(features: DataFrame, columns: str | None = None, limit: int = 0, max_width: int = 100) -> str:
-    """The ID and the columns of each feature, of ``limit`` at most if it is not 0; the tags of a wildcard stack in rows of their own."""
+
+def table_text(rows: list[tuple], header: list[str], max_width: int = 100) -> str:
+    return "".join(table_lines(lambda: iter(rows), header, max_width))
+
+
+def feature_table_lines(features: DataFrame, columns: str | None = None, limit: int = 0, max_width: int = 100) -> Iterator[str]:
+    """The ID and the columns of each feature, of ``limit`` at most if it is not 0; the tags of a wildcard stack in
+    rows of their own."""
     c = Columns(columns)
-    shown = [T.value("tags", n) if "*" not in n and n not in PSEUDO else F.array_join(F.transform(F.map_entries(c.part(n)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n") if "*" in n else c.value(n) for n in c.names]
-    ordered = features.select(F.concat("type", F.col("id").cast("string")), *shown).orderBy("type", "id")
-    rows = (ordered.limit(limit) if limit else ordered).collect()
-    out = []
-    for r in rows:
-        parts = [(x or "").split("\n") for x in r]
-        for k in range(max(map(len, parts))):
-            out.append(tuple(p[k] if k < len(p) else (" " if j == 0 or k else "") for j, p in enumerate(parts)))
-    return table_text(out, ["ID", *c.names], max_width)
-
-
-MAP_PAGE = """<!DOCTYPE html>
+    cells = [T.value("tags", n) if "*" not in n and n not in PSEUDO else F.array_join(F.transform(F.map_entries(c.part(n)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n") if "*" in n else c.value(n) for n in c.names]
+    ordered = features.select(F.concat("type", F.col("id").cast("string")), *cells).orderBy("type", "id")
+    ordered = ordered.limit(limit) if limit else ordered
+
+    def rows() -> Iterator[tuple]:
+        for r in ordered.toLocalIterator():
+            parts = [(x or "").split("\n") for x in r]
+            for k in range(max(map(len, parts))):
+                yield tuple(p[k] if k < len(p) else (" " if j == 0 or k else "") for j, p in enumerate(parts))
+
+    return table_lines(rows, ["ID", *c.names], max_width)
+
+
+def feature_table(features: DataFrame, columns: str | None = None, limit: int = 0, max_width: int = 100) -> str:
+    return "".join(feature_table_lines(features, columns, limit, max_width))
+
+
+MAP_HEAD = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><link rel="stylesheet" href="https://unpkg.com/leaflet/dist/leaflet.css"><script src="https://unpkg.com/leaflet/dist/leaflet.js"></script>
 <style>#map{{height:100vh}}body{{margin:0}}</style></head><body><div id="map"></div><script>
 var map = L.map("map");
 L.tileLayer("{basemap}", {{attribution: "{attribution}"}}).addTo(map);
 var all = L.featureGroup().addTo(map);
-{body}
-map.fitBounds(all.getBounds());
+"""
+MAP_FOOT = """map.fitBounds(all.getBounds());
 </script></body></html>
 """
 
 
-def map_page(features: DataFrame, columns: str | None = None, limit: int = 10_000, basemap: str = "https://tile.openstreetmap.org/{z}/{x}/{y}.png", attribution: str = "", color: str = "blue", link: str = "osm") -> str:
+def map_lines(features: DataFrame, columns: str | None = None, basemap: str = "https://tile.openstreetmap.org/{z}/{x}/{y}.png", attribution: str = "", color: str = "blue", link: str = "osm") -> Iterator[str]:
     """A Leaflet page: each feature with its name and tags as a tooltip, and a link where ``link`` is ``osm``."""
     if link not in ("none", "osm"):
         raise ValueError(f"no link scheme: {link}")
@@ -243,8 +309,13 @@ def map_page(features: DataFrame, columns: str | None = None, limit: int = 10_00
     tip = F.concat(F.lit("<h3>"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"), F.lit("</h3><pre>"), pre, F.lit("</pre>"))
     url = F.concat(F.lit("https://www.openstreetmap.org/"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"))
     click = F.concat(F.lit('.on("click", function(){window.open("'), url, F.lit('")})')) if link == "osm" else F.lit("")
-    line = F.concat(F.lit("L.geoJSON("), geojson_geometry(7, "polygons" in features.columns), F.lit(f', {{color: "{color}"}}).bindTooltip('), text.json_text(tip), F.lit(")"), click, F.lit(".addTo(all);"))
-    rows = features.select(line.alias("line")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} features: a page can't show them")
-    return MAP_PAGE.format(basemap=basemap, attribution=attribution, body="\n".join(r["line"] for r in rows))
+    shape = geojson_geometry(7, "polygons" in features.columns, "collection" in features.columns)
+    line = F.concat(F.lit("L.geoJSON("), shape, F.lit(f', {{color: "{color}"}}).bindTooltip('), text.json_text(tip), F.lit(")"), click, F.lit(".addTo(all);"))
+    yield MAP_HEAD.format(basemap=basemap, attribution=attribution)
+    for row in features.select(line.alias("line")).toLocalIterator(prefetchPartitions=True):
+        yield row["line"] + "\n"
+    yield MAP_FOOT
+
+
+def map_page(features: DataFrame, columns: str | None = None, **options: str) -> str:
+    return "".join(map_lines(features, columns, **options))

@@ -1,107 +1,215 @@
-"""Stored libraries: a feature table in files, partitioned by kind and coarse tile, with a small sidecar of properties."""
+"""Stored libraries: a feature table in files, by kind, key bucket and tile, with a table of what its parts cover.
+
+    features/    the features, partitioned by kind_part, key_part and tile_part, sorted along a space-filling curve
+    parts/       (kind_part, key_part, tile_part, minx, miny, maxx, maxy, n) of each partition
+    way_nodes/   (way_id, node_ids) in the order of ways, of libraries that can be updated
+    _library     properties: the library's id, its settings
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geolith import model
-from geolith.operators.build import spatial_order
+from geolith.operators import changes
+from geolith.operators.build import deepest_tile, spatial_order
+from geolith.work import exists
 
 COARSE = 6
+PARTS = ["kind_part", "key_part", "tile_part"]
+#: Fields of a partition's box, of the features in it.
+COVER = ["minx", "miny", "maxx", "maxy"]
+MIXED = "mixed"
+NOWHERE = "none"
 
 
 class LibraryError(Exception):
     """A folder that is no library, or another one."""
 
 
-def _sidecar(spark: SparkSession, path: str) -> str:
+def _sidecar(path: str) -> str:
     return f"{path.rstrip('/')}/_library"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _table(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/{name}"
 
 
 def properties(spark: SparkSession, path: str) -> dict:
-    if not _exists(spark, _sidecar(spark, path)):
+    if not exists(spark, _sidecar(path)):
         raise LibraryError(f"no library at {path}")
-    return json.loads(spark.read.text(_sidecar(spark, path), wholetext=True).first()["value"])
+    return json.loads(spark.read.text(_sidecar(path), wholetext=True).first()["value"])
+
+
+def _write_properties(spark: SparkSession, path: str, content: dict) -> None:
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(_sidecar(path))
 
 
-def coarse_tile(zoom: int = COARSE):
+def coarse_tile(zoom: int = COARSE) -> Column:
     """The tile's parent at ``zoom``, as its partition; features without a place go to ``none``."""
     parts = F.split("tile", "/")
     up = parts[0].cast("int") - zoom
     col = F.expr(f"shiftright(cast(split(tile, '/')[1] as int), cast(split(tile, '/')[0] as int) - {zoom})")
     row = F.expr(f"shiftright(cast(split(tile, '/')[2] as int), cast(split(tile, '/')[0] as int) - {zoom})")
-    return F.when(F.col("tile").isNull() | (up < 0), F.lit("none")).otherwise(F.concat_ws("-", col.cast("string"), row.cast("string")))
-
-
-def write(features: DataFrame, path: str, guid: str | None = None, extra: dict | None = None, mode: str = "errorifexists") -> str:
-    """The library's id.  Rows are dealt by kind and tile and sorted along a space-filling curve, so that partitions,
-    row groups and pages prune."""
+    return F.when(F.col("tile").isNull() | (up < 0), F.lit(NOWHERE)).otherwise(F.concat_ws("-", col.cast("string"), row.cast("string")))
+
+
+def in_tiles(features: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``features`` with tile_part: the deepest tile of a tile set (zoom, col, row) that holds the feature's place."""
+    out = deepest_tile(features, tiles)
+    name = F.concat_ws("-", *[F.col(f"tile_{c}").cast("string") for c in ("zoom", "col", "row")])
+    return out.select(*features.columns, F.when(F.col("tile_zoom").isNull(), NOWHERE).otherwise(name).alias("tile_part"))
+
+
+def key_part(features: DataFrame, most: int, least_features: int) -> Column:
+    """The bucket of a feature: its key bits if they are among the ``most - 1`` largest of its kind and
+    ``least_features`` or more have them, else ``mixed``."""
+    groups = features.groupBy("kind", "key_bits").agg(F.count("*").alias("n")).where(F.col("n") >= least_features)
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "key_bits"))
+    own = groups.withColumn("rank", rank).where(F.col("rank") <= max(0, most - 1)).collect() if most > 1 else []  # most - 1 rows of each kind
+    names = [f"{r['kind']}{r['key_bits']}" for r in own]
+    return F.when(F.concat("kind", F.col("key_bits").cast("string")).isin(names), F.col("key_bits").cast("string")).otherwise(F.lit(MIXED)) if names else F.lit(MIXED)
+
+
+def write(
+    features: DataFrame,
+    path: str,
+    guid: str | None = None,
+    extra: dict | None = None,
+    mode: str = "errorifexists",
+    tiles: DataFrame | None = None,
+    most_buckets: int = 6,
+    least_features: int = 300,
+    updatable: bool = False,
+    page_rows: int = 1024,
+) -> str:
+    """The library's id.  Rows are dealt by kind, key bucket and tile (of ``tiles``, else coarse ones) and sorted along
+    a space-filling curve, so that partitions, row groups and pages (of ``page_rows`` rows) prune."""
     spark = features.sparkSession
     guid = guid or str(uuid.uuid4())
-    placed = features.withColumn("kind_part", F.col("kind")).withColumn("tile_part", coarse_tile())
+    placed = in_tiles(features, tiles) if tiles is not None else features.withColumn("tile_part", coarse_tile())
+    placed = placed.withColumns({"kind_part": F.col("kind"), "key_part": key_part(features, most_buckets, least_features)})
     curve = F.when(F.col("x").isNotNull(), spatial_order(F.col("x"), F.col("y")))
-    placed.repartitionByRange("kind_part", "tile_part", curve).sortWithinPartitions("kind_part", "tile_part", curve).write.mode(mode).partitionBy("kind_part", "tile_part").parquet(f"{path.rstrip('/')}/features")
-    text = json.dumps({"guid": guid, **(extra or {})})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(_sidecar(spark, path))
+    ordered = placed.repartitionByRange(*PARTS, curve).sortWithinPartitions(*PARTS, curve).select(*model.COLUMNS, *PARTS)
+    ordered.write.mode(mode).option("parquet.page.row.count.limit", page_rows).partitionBy(*PARTS).parquet(_table(path, "features"))
+    covers(raw(spark, path)).write.mode(mode).parquet(_table(path, "parts"))
+    if updatable:
+        nodes = features.where("type = 'W' and not is_missing").select(F.col("id").alias("way_id"), F.posexplode("node_ids").alias("pos", "node_id"))
+        changes.by_way(nodes).write.mode(mode).parquet(_table(path, "way_nodes"))
+    _write_properties(spark, path, {"guid": guid, **(extra or {})})
     return guid
 
 
-def read(spark: SparkSession, path: str, kinds: str | None = None, tiles: list[str] | None = None) -> DataFrame:
-    """The features; ``kinds`` and coarse ``tiles`` prune partitions."""
-    properties(spark, path)
-    out = spark.read.parquet(f"{path.rstrip('/')}/features")
+def raw(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with their partitions, all of them text."""
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in model.COLUMNS.items()], *[f"{c} string" for c in PARTS]])
+    return spark.read.schema(schema).parquet(_table(path, "features"))
+
+
+def covers(rows: DataFrame) -> DataFrame:
+    """What each partition covers: the box around all its features, which may reach out of its tile."""
+    b = F.col("bbox")
+    return rows.groupBy(*PARTS).agg(*[(F.min if c[:3] == "min" else F.max)(b[c]).alias(c) for c in COVER], F.count("*").alias("n"))
+
+
+def checked_schema(spark: SparkSession, path: str) -> None:
+    found = dict(spark.read.parquet(_table(path, "features")).dtypes)
+    for name, kind in model.COLUMNS.items():
+        if found.get(name) != kind:
+            raise LibraryError(f"column {name} of {path} should be {kind}, not {found.get(name)}")
+
+
+def pruned(spark: SparkSession, path: str, kinds: str | None = None, box: tuple[int, int, int, int] | None = None, bits: list[int] | None = None) -> list[tuple[str, str, str]]:
+    """The partitions that can hold what is asked for: of some kinds, meeting a box, with all categories of any of
+    ``bits``.  There are no more than tiles, kinds and buckets."""
+    parts = spark.read.parquet(_table(path, "parts"))
     if kinds:
-        out = out.where(F.col("kind_part").isin(list(kinds)))
+        parts = parts.where(F.col("kind_part").isin(list(kinds)))
+    if box is not None:
+        minx, miny, maxx, maxy = box
+        parts = parts.where((F.col("minx") <= maxx) & (F.col("maxx") >= minx) & (F.col("miny") <= maxy) & (F.col("maxy") >= miny))
+    if bits:
+        own = F.col("key_part").try_cast("int")
+        any_of = F.col("key_part") == MIXED
+        for b in bits:
+            any_of = any_of | (own.bitwiseAND(F.lit(b)) == b)
+        parts = parts.where(any_of)
+    return [tuple(r) for r in parts.select(*PARTS).distinct().collect()]
+
+
+def read(spark: SparkSession, path: str, kinds: str | None = None, tiles: list[str] | None = None, box: tuple[int, int, int, int] | None = None, bits: list[int] | None = None, keep_parts: bool = False) -> DataFrame:
+    """The features; ``kinds``, ``box`` and ``bits`` leave out the partitions that hold nothing for them, ``tiles`` all
+    but these."""
+    properties(spark, path)
+    checked_schema(spark, path)
+    out = raw(spark, path)
     if tiles is not None:
-        out = out.where(F.col("tile_part").isin([*tiles, "none"]))
-    return out.select(*model.COLUMNS)
+        out = out.where(F.col("tile_part").isin([*tiles, NOWHERE]))
+    if kinds or box is not None or bits:
+        found = pruned(spark, path, kinds, box, bits)
+        for k, name in enumerate(PARTS):
+            out = out.where(F.col(name).isin(sorted({f[k] for f in found})))
+    return out.select(*model.COLUMNS, *(PARTS if keep_parts else []))
+
+
+def way_nodes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(way_id, node_ids) of a library that can be updated, else None."""
+    return spark.read.parquet(_table(path, "way_nodes")) if exists(spark, _table(path, "way_nodes")) else None
 
 
 def tile_list(spark: SparkSession, path: str) -> DataFrame:
-    """(tile): the coarse tiles, ``none`` among them always."""
-    own = spark.read.parquet(f"{path.rstrip('/')}/features").select(F.col("tile_part").cast("string").alias("tile")).distinct()
-    return own.union(spark.createDataFrame([("none",)], "tile string")).distinct()
+    """(tile): the tiles, ``none`` among them always."""
+    own = spark.read.parquet(_table(path, "parts")).select(F.col("tile_part").alias("tile")).distinct()
+    return own.union(spark.createDataFrame([(NOWHERE,)], "tile string")).distinct()
+
+
+def tiles_of(rows: DataFrame) -> list[str]:
+    """The tiles of some rows read with their partitions: as many as the library has at most."""
+    return [r[0] for r in rows.select("tile_part").distinct().collect()]
 
 
 def save(spark: SparkSession, path: str, to: str, tiles: list[str] | None = None) -> int:
     """A tile set of the library's tiles (and ``none``); a folder that holds another library's is refused."""
-    guid = properties(spark, path)["guid"]
-    if _exists(spark, _sidecar(spark, to)) and properties(spark, to)["guid"] != guid:
-        raise LibraryError(f"{to} holds the tiles of another library")
-    own = spark.read.parquet(f"{path.rstrip('/')}/features")
+    own_properties = properties(spark, path)
+    guid = own_properties["guid"]
+    had: list[str] = []
+    if exists(spark, _sidecar(to)):
+        if properties(spark, to)["guid"] != guid:
+            raise LibraryError(f"{to} holds the tiles of another library")
+        had = tiles_of(spark.read.parquet(_table(to, "parts")))
+    own, parts = raw(spark, path), spark.read.parquet(_table(path, "parts"))
     if tiles is not None:
-        own = own.where(F.col("tile_part").isin([*tiles, "none"]))
-    n = own.select("tile_part").distinct().count()
-    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind_part", "tile_part").parquet(f"{to.rstrip('/')}/features")
-    spark.createDataFrame([(json.dumps({"guid": guid}),)], "value string").coalesce(1).write.mode("overwrite").text(_sidecar(spark, to))
+        own, parts = (df.where(F.col("tile_part").isin([*tiles, NOWHERE])) for df in (own, parts))
+    n = parts.select("tile_part").distinct().count()
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(_table(to, "features"))
+    parts.where(~F.col("tile_part").isin(had)).write.mode("append").parquet(_table(to, "parts"))
+    _write_properties(spark, to, own_properties)
     return n
 
 
-def load(spark: SparkSession, path: str, source: str) -> int:
-    """Append the tiles that the library at ``path`` does not have yet; a new folder becomes a library."""
-    guid = properties(spark, source)["guid"]
-    source_rows = spark.read.parquet(f"{source.rstrip('/')}/features")
-    new = source_rows
-    if _exists(spark, _sidecar(spark, path)):
-        if properties(spark, path)["guid"] != guid:
+def load(spark: SparkSession, path: str, source: str, tiles: list[str] | None = None) -> int:
+    """Append the tiles (all, or some) that the library at ``path`` does not have yet; a new folder becomes a library."""
+    own_properties = properties(spark, source)
+    had: list[str] = []
+    if exists(spark, _sidecar(path)):
+        if properties(spark, path)["guid"] != own_properties["guid"]:
             raise LibraryError(f"{source} holds the tiles of another library")
-        have = spark.read.parquet(f"{path.rstrip('/')}/features").select("tile_part").distinct()
-        new = source_rows.join(have, "tile_part", "left_anti").select(*source_rows.columns)
-    tiles = [r[0] for r in new.select(F.col("tile_part").cast("string")).distinct().collect()]  # coarse tiles: 4 ** COARSE + 1 at most
-    if tiles:
-        source_rows.where(F.col("tile_part").isin(tiles)).write.mode("append").partitionBy("kind_part", "tile_part").parquet(f"{path.rstrip('/')}/features")
-    if not _exists(spark, _sidecar(spark, path)):
-        spark.createDataFrame([(json.dumps({"guid": guid}),)], "value string").coalesce(1).write.mode("overwrite").text(_sidecar(spark, path))
-    return len(tiles)
+        had = tiles_of(spark.read.parquet(_table(path, "parts")))
+    parts = spark.read.parquet(_table(source, "parts")).where(~F.col("tile_part").isin(had))
+    if tiles is not None:
+        parts = parts.where(F.col("tile_part").isin([*tiles, NOWHERE]))
+    new = tiles_of(parts)
+    if new:
+        raw(spark, source).where(F.col("tile_part").isin(new)).write.mode("append").partitionBy(*PARTS).parquet(_table(path, "features"))
+        parts.write.mode("append").parquet(_table(path, "parts"))
+    if not exists(spark, _sidecar(path)):
+        _write_properties(spark, path, own_properties)
+    return len(new)
 
 
 def check(features: DataFrame) -> DataFrame:

@@ -108,8 +108,6 @@ def test_formats(features):
     assert len(json.loads(formats.rendered(features, "geojson", "bbox,*"))["features"]) == features.count()
     assert "ID" in formats.feature_table(features, "name,*")
     assert "L.geoJSON" in formats.map_page(one) and "openstreetmap.org/node/1" in formats.map_page(one)
-    with pytest.raises(ValueError):
-        formats.rendered(features, "list", limit=3)
     with pytest.raises(ValueError):
         formats.lines(features, "no such")
 

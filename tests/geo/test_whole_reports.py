@@ -14,4 +14,4 @@ def test_no_rows_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(cli.library, "properties", lambda *a: {"guid": "g"})
     monkeypatch.setattr(cli.library, "read", lambda *a: spark.range(1005).select(F.col("id").alias("tile")))
     monkeypatch.setattr(cli.reports, "info", lambda *a: spark.createDataFrame([], "name string, value string"))
-    assert cli.run_info(spark, ["library", "-t"]).count("\n") >= 1007
+    assert "".join(cli.run_info(spark, ["library", "-t"])).count("\n") >= 1007
