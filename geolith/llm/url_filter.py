@@ -156,8 +156,8 @@ def query(pages: DataFrame) -> DataFrame:
 
 
 def redirect_query(pages: DataFrame, chain: int = 6) -> DataFrame:
-    """(page_id, rule, verdict, component) where each page redirects to the one before it, in chains of ``chain``."""
-    one = pages.select("page_id", "url")
-    before = one.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
-    redirects = one.where(F.col("page_id") % chain != 0).join(before, "page_id").select(F.col("url").alias("source"), "target")
+    """(page_id, rule, verdict, component) where each page redirects to the one before it, in chains of ``chain``; the first of
+    each chain redirects to itself."""
+    one = pages.select("url", (F.col("page_id") - F.least(F.col("page_id") % chain, F.lit(1))).alias("to"))
+    redirects = one.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").select(F.col("url").alias("source"), "target")
     return judged(pages, redirects=redirects, usual_forms=False).select("page_id", "rule", "verdict", "component")
