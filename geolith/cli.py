@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import tags as T
+from geolith.functions.text import parse_choice
 from geolith.operators import build, changes, closure, query, reports, rings, stats
 from geolith.plans import selector
 from geolith.sinks import formats
@@ -218,9 +219,7 @@ def run_query(spark: SparkSession, args: list[str]) -> str | Iterator[str]:
 
 
 def run_stats(rows: DataFrame, columns: str | None, extra: dict) -> Iterator[str]:
-    mode = extra.get("tally") or "keys"
-    if mode not in stats.MODES:
-        raise UsageError(f"no tally: {mode}")
+    mode = parse_choice(extra.get("tally") or "keys", stats.MODES)
     cut = stats.CutOff.parse(extra.get("min-tally"))
     split, lexical = "split-values" in extra, "sort" in extra
     width = int(extra.get("max-width") or 100)

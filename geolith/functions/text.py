@@ -78,3 +78,11 @@ def in_range(value: float, low: float, high: float, name: str = "value") -> floa
     if not low <= value <= high:
         raise ValueError(f"{name} must be between {low} and {high}")
     return value
+
+
+def parse_choice(text: str, choices: list[str] | tuple[str, ...]) -> str:
+    """One of some names, whatever the case."""
+    found = {c.lower(): c for c in choices}
+    if text.lower() not in found:
+        raise ValueError(f"{text} should be one of {', '.join(choices)}")
+    return found[text.lower()]

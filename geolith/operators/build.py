@@ -207,11 +207,11 @@ def with_check_tags(checked: DataFrame, prefix: str = model.CHECK_KEY) -> DataFr
 def features(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, members: DataFrame, indexed=T.INDEXED_KEYS, check: bool = False) -> DataFrame:
     """The feature table; members that nothing is stand in it as missing.
 
-    Nodes and ways are stored once: relations need their boxes, and which members are missing their ids.
+    Members, nodes and ways are stored once: relations need their boxes, and which members are missing their ids.
     """
     if check:
         nodes = with_check_tags(checked_nodes(nodes, way_nodes, members))
-    own = clean_members(members)
+    own = stored(clean_members(members), "members")
     up = stored(parents(own), "parents")
     n = stored(model.feature_rows(node_features(nodes, up), indexed), "nodes")
     w = stored(model.feature_rows(way_features(ways, way_nodes, nodes, up), indexed), "ways")

@@ -271,12 +271,13 @@ def closure_with_cycles(spark, d):
     return build.member_closure(X.members(spark, d, cycles=True)).groupBy("rel_id", "type").agg(F.count("*").alias("n"))
 
 
-@registered(with_(WN, MEM, REACH) + """
-, f AS (SELECT 'R' AS type, 2000001 AS id UNION SELECT type, id FROM reach WHERE rel_id = 2000001)
+@registered(with_(WN, REL, MEM, REACH) + """
+, roots AS (SELECT id FROM r WHERE boundary IS NOT NULL),
+f AS (SELECT 'R' AS type, id FROM roots UNION SELECT type, id FROM reach WHERE rel_id IN (SELECT id FROM roots))
 SELECT type, id FROM f UNION SELECT 'N', node_id FROM wn WHERE way_id IN (SELECT id FROM f WHERE type = 'W')""")
 def xml_closure(spark, d):
-    one = X.relations(spark, d).where("id = 2000001").select(F.lit("R").alias("type"), "id")
-    return closure.referenced(one, X.members(spark, d), X.way_nodes(spark, d))
+    roots = query.select(relation_rows(spark, d), "*[boundary]").select("type", "id")
+    return closure.referenced(roots, X.members(spark, d), X.way_nodes(spark, d))
 
 
 @registered(with_(N) + " SELECT x, y, 9000000 + row_number() OVER (ORDER BY x, y) AS id FROM (SELECT DISTINCT x, y FROM n WHERE NOT tagged)")
@@ -566,11 +567,12 @@ def changes_promoted(spark, d):
     return changes.promoted(X.nodes(spark, d), X.members(spark, d), changes.latest(X.changes(spark, d)))
 
 
-@registered(with_(WN, CH) + """
-, own AS (SELECT way_id, node_id FROM wn WHERE way_id % 2 = 0), p AS (SELECT way_id, count(*) AS k, count(*) FILTER (WHERE node_id IN (SELECT id FROM c)) AS h FROM own GROUP BY 1)
-SELECT CAST(sum(k) AS BIGINT) AS way_nodes, (SELECT count(DISTINCT node_id) FROM own) AS distinct_way_nodes, count(*) AS ways, count(*) FILTER (WHERE k = h) AS complete_ways FROM p""")
+@registered(with_(WN, MEM, CH) + """
+, p AS (SELECT way_id, count(*) AS k, count(*) FILTER (WHERE node_id IN (SELECT id FROM c)) AS h FROM wn GROUP BY 1)
+SELECT CAST(sum(k) AS BIGINT) AS way_nodes, (SELECT count(DISTINCT node_id) FROM wn) AS distinct_way_nodes, count(*) AS ways, count(*) FILTER (WHERE k = h) AS complete_ways,
+  (SELECT count(*) FROM m) AS members, (SELECT count(*) FROM (SELECT DISTINCT type, id FROM m)) AS distinct_members FROM p""")
 def change_completeness(spark, d):
-    return reports.change_completeness(X.way_nodes(spark, d).where("way_id % 2 = 0"), X.changes(spark, d))
+    return reports.change_completeness(X.way_nodes(spark, d), X.changes(spark, d), X.members(spark, d))
 
 
 def two_tag_tables(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ def type_name(c: Column) -> Column:
     return F.when(c == "N", "node").when(c == "W", "way").otherwise("relation")
 
 
+def osm_link() -> Column:
+    """The page of a feature."""
+    return F.concat(F.lit("https://www.openstreetmap.org/"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"))
+
+
 def list_lines(features: DataFrame) -> DataFrame:
     return features.select("type", "id", F.concat("type", F.col("id").cast("string")).alias("line"))
 
@@ -194,9 +200,32 @@ def lines(features: DataFrame, form: str, columns: str | None = None, precision:
     return makers[form]()
 
 
+def framed(lines: DataFrame, before: str, after: str, between: str = "\n") -> DataFrame:
+    """(value): the lines of each partition with the lines before and after, so that each file is whole by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, began = None, False
+        for batch in batches:
+            own = ([] if last is None else [last]) + batch.column(0).to_pylist()
+            if not own:
+                continue
+            # the last line waits: what separates lines does not follow it
+            head, last = [x + between[:-1] for x in own[:-1]], own[-1]
+            if not began and before:
+                head.insert(0, before)
+            began = True
+            yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
+        rest = ([] if began or not before else [before]) + ([] if last is None else [last]) + ([after] if after else [])
+        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string())], names=["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
 def write_text(features: DataFrame, form: str, path: str, columns: str | None = None, precision: int = 7) -> None:
-    """Body lines as text files; formats that need a frame get theirs from whoever joins the files."""
-    lines(features, form, columns, precision).select("line").write.text(path)
+    """Text files, each with the lines that its format has before and after the body."""
+    before, after = (csv_header(columns), "") if form == "csv" else FRAMES[form]
+    own = lines(features, form, columns, precision).select("line")
+    framed(own, before, after, ",\n" if form in ("geojson", "wkt") else "\n").write.text(path)
 
 
 def in_order(lines: DataFrame) -> DataFrame:
@@ -307,7 +336,7 @@ def map_lines(features: DataFrame, columns: str | None = None, basemap: str = "h
     c = Columns(columns)
     pre = F.array_join(F.transform(c.properties(), lambda e: F.concat(text.html_escaped(e["key"]), F.lit("="), text.html_escaped(e["value"]))), "\n")
     tip = F.concat(F.lit("<h3>"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"), F.lit("</h3><pre>"), pre, F.lit("</pre>"))
-    url = F.concat(F.lit("https://www.openstreetmap.org/"), type_name(F.col("type")), F.lit("/"), F.col("id").cast("string"))
+    url = osm_link()
     click = F.concat(F.lit('.on("click", function(){window.open("'), url, F.lit('")})')) if link == "osm" else F.lit("")
     shape = geojson_geometry(7, "polygons" in features.columns, "collection" in features.columns)
     line = F.concat(F.lit("L.geoJSON("), shape, F.lit(f', {{color: "{color}"}}).bindTooltip('), text.json_text(tip), F.lit(")"), click, F.lit(".addTo(all);"))

@@ -1,26 +1,36 @@
-"""OSM PBF files as a Spark data source: a partition for each run of blobs, decoded in the tasks.
+"""OSM PBF files as a Spark data source: a partition for each run of blobs, decoded in the tasks into Arrow batches.
 
     spark.dataSource.register(PbfSource)
     spark.read.format("osm_pbf").load(path)
 
-Rows are (type, id, tags, lon, lat, node_ids, members); ``frames`` splits them into the raw tables.
+The data source opens files that every executor can open.  ``read`` takes any other path through Spark's own readers:
+files (a folder of extracts, say) go to tasks whole.  Rows are (type, id, tags, lon, lat, node_ids, members);
+``frames`` decodes them once, stores them and splits them into the raw tables.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geolith.functions import geo
+from geolith.work import stored
 
 SCHEMA = "type string, id bigint, tags map<string,string>, lon double, lat double, node_ids array<bigint>, members array<struct<type:string,id:bigint,role:string>>"
 
 
+MEMBER = pa.struct([("type", pa.string()), ("id", pa.int64()), ("role", pa.string())])
+ARROW = pa.schema([("type", pa.string()), ("id", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("lon", pa.float64()), ("lat", pa.float64()), ("node_ids", pa.list_(pa.int64())), ("members", pa.list_(MEMBER))])
+
+
 def varint(raw: bytes, at: int) -> tuple[int, int]:
     out = shift = 0
     while True:
@@ -131,6 +141,15 @@ def block_rows(raw: bytes) -> Iterator[tuple]:
                 yield ("R", own[1], tags, None, None, None, [("NWR"[t], i, strings[r]) for r, i, t in zip(roles, ids, kinds)])
 
 
+def block_batch(raw: bytes) -> pa.RecordBatch:
+    """The elements of a primitive block, by columns."""
+    columns = list(zip(*block_rows(raw))) or [()] * len(ARROW)
+    tags = pa.array([list(t.items()) for t in columns[2]], ARROW.field("tags").type)
+    members = pa.array([None if m is None else [dict(zip(("type", "id", "role"), x)) for x in m] for m in columns[6]], ARROW.field("members").type)
+    arrays = [tags if f.name == "tags" else members if f.name == "members" else pa.array(c, f.type) for f, c in zip(ARROW, columns)]
+    return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+
+
 def header_of(raw: bytes) -> dict:
     """source, program, features and replication of a header block."""
     out: dict = {"required": [], "optional": []}
@@ -146,18 +165,17 @@ def header_of(raw: bytes) -> dict:
     return out
 
 
-def blobs(path: str) -> Iterator[tuple[str, int, int]]:
+def blobs(f: BinaryIO) -> Iterator[tuple[str, int, int]]:
     """(kind, place, size) of each blob; only the small headers between them are read."""
-    with open(path, "rb") as f:
-        while len(head := f.read(4)) == 4:
-            kind, size = "", 0
-            for k, v in message(f.read(struct.unpack(">I", head)[0])):
-                if k == 1:
-                    kind = v.decode()
-                elif k == 3:
-                    size = v
-            yield kind, f.tell(), size
-            f.seek(size, 1)
+    while len(head := f.read(4)) == 4:
+        kind, size = "", 0
+        for k, v in message(f.read(struct.unpack(">I", head)[0])):
+            if k == 1:
+                kind = v.decode()
+            elif k == 3:
+                size = v
+        yield kind, f.tell(), size
+        f.seek(size, 1)
 
 
 class Blobs(InputPartition):
@@ -170,15 +188,16 @@ class PbfReader(DataSourceReader):
         self.path, self.per_partition = path, per_partition
 
     def partitions(self) -> list[Blobs]:
-        own = [(at, n) for kind, at, n in blobs(self.path) if kind == "OSMData"]
+        with open(self.path, "rb") as f:
+            own = [(at, n) for kind, at, n in blobs(f) if kind == "OSMData"]
         return [Blobs(own[k : k + self.per_partition]) for k in range(0, len(own), self.per_partition)] or [Blobs([])]
 
-    def read(self, partition: Blobs) -> Iterator[tuple]:
+    def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
         if partition.at:
             with open(self.path, "rb") as f:
                 for at, n in partition.at:
                     f.seek(at)
-                    yield from block_rows(blob_data(f.read(n)))
+                    yield block_batch(blob_data(f.read(n)))
 
 
 class PbfSource(DataSource):
@@ -195,10 +214,30 @@ class PbfSource(DataSource):
         return PbfReader(self.options["path"].removeprefix("file://"), int(self.options.get("blobs_per_partition", "16")))
 
 
+def is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a file that all executors can open, or of the files at any path that Spark reads."""
+    if is_local(path):
+        spark.dataSource.register(PbfSource)
+        return spark.read.format("osm_pbf").load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                f = io.BytesIO(content.as_py())
+                for kind, at, n in blobs(f):
+                    if kind == "OSMData":
+                        yield block_batch(blob_data(f.getbuffer()[at : at + n].tobytes()))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+
+
 def frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The raw tables of a file, as ``osm_xml.read`` gives them."""
-    spark.dataSource.register(PbfSource)
-    raw = spark.read.format("osm_pbf").load(path)
+    raw = stored(read(spark, path), "pbf")
     w, r = raw.where("type = 'W'"), raw.where("type = 'R'")
     return {
         "nodes": raw.where("type = 'N'").select("id", "lon", "lat", geo.x_of("lon").alias("x"), geo.y_of("lat").alias("y"), "tags"),
@@ -210,12 +249,19 @@ def frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
-    """One row: what the file says of itself."""
-    for kind, at, n in blobs(path.removeprefix("file://")):
-        if kind == "OSMHeader":
-            with open(path.removeprefix("file://"), "rb") as f:
+    """One row for each file: what it says of itself."""
+    schema = "source string, program string, required array<string>, optional array<string>, replication_timestamp long, replication_sequence long, replication_url string"
+
+    def found(f: BinaryIO) -> tuple:
+        for kind, at, n in blobs(f):
+            if kind == "OSMHeader":
                 f.seek(at)
                 h = header_of(blob_data(f.read(n)))
-            row = (h.get("source"), h.get("program"), h["required"], h["optional"], h.get("replication_timestamp"), h.get("replication_sequence"), h.get("replication_url"))
-            return spark.createDataFrame([row], "source string, program string, required array<string>, optional array<string>, replication_timestamp long, replication_sequence long, replication_url string")
-    raise ValueError("no header in this file")
+                return h.get("source"), h.get("program"), h["required"], h["optional"], h.get("replication_timestamp"), h.get("replication_sequence"), h.get("replication_url")
+        raise ValueError("no header in this file")
+
+    if is_local(path):
+        with open(path.removeprefix("file://"), "rb") as f:
+            return spark.createDataFrame([found(f)], schema)
+    rows = spark.read.format("binaryFile").load(path).select("content").toLocalIterator()
+    return spark.createDataFrame([found(io.BytesIO(r["content"])) for r in rows], schema)

@@ -1,17 +1,22 @@
 """Changes as a stream: duplicates dropped within a watermark, and each batch merged into a stored node table.
 
-Every batch writes a new version of the table and then moves a pointer to it; a batch that runs again after a failure
-finds its number there and changes nothing, so results are exactly once.
+The table lies in parts by a hash of the id.  A batch writes anew only the parts that it touches, as a version, with a
+note of which version each part is in; a batch that runs again after a failure finds its number there and changes
+nothing, so results are exactly once.  Versions that the last two notes do not name are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from geolith.work import deleted, exists, file_system, stored
 
 SCHEMA = "change string, type string, id bigint, version int, user bigint, tags map<string,string>, x bigint, y bigint, ts timestamp"
+STATE = "id bigint, x bigint, y bigint, tags map<string,string>, version int, is_deleted boolean"
 
 
 def read(spark: SparkSession, path: str, watermark: str = "1 day", max_files: int = 100) -> DataFrame:
@@ -25,18 +30,49 @@ def rates(stream: DataFrame, width: str = "1 hour") -> DataFrame:
     return stream.groupBy(F.window("ts", width), "type", "change").agg(F.count("*").alias("n"))
 
 
+def notes(spark: SparkSession, path: str) -> dict[int, dict[str, int]]:
+    """The notes that there are: batch -> part -> the version that holds it."""
+    if not exists(spark, f"{path}/notes"):
+        return {}
+    fs, at = file_system(spark, f"{path}/notes")
+    done = [int(s.getPath().getName()) for s in fs.listStatus(at) if exists(spark, f"{s.getPath()}/_SUCCESS")]
+    return {n: json.loads(spark.read.text(f"{path}/notes/{n}", wholetext=True).first()["value"]) for n in done}
+
+
+def read_parts(spark: SparkSession, path: str, note: dict[str, int], only: list[int] | None = None) -> DataFrame:
+    """The rows of all parts, or of some."""
+    own = {k: v for k, v in note.items() if only is None or int(k) in only}
+    folders = [f"{path}/v{v}/part={k}" for k, v in sorted(own.items())]
+    empty = spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(*folders) if folders else empty
+
+
 def current(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """The newest version of the table at ``path`` and the batch that wrote it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
+    """The newest state of the table at ``path`` and the batch that wrote it."""
+    found = notes(spark, path)
+    if not found:
         return None, -1
-    done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return (spark.read.parquet(f"{path}/v{max(done)}"), max(done)) if done else (None, -1)
+    last = max(found)
+    return read_parts(spark, path, found[last]), last
+
+
+def expired(spark: SparkSession, path: str) -> None:
+    """Delete the parts and notes that the last two notes do not need."""
+    found = notes(spark, path)
+    kept = sorted(found)[-2:]
+    needed = {(k, v) for n in kept for k, v in found[n].items()}
+    for n in found:
+        if n not in kept:
+            deleted(spark, f"{path}/notes/{n}")
+    for k, v in {(k, v) for n in found if n not in kept for k, v in found[n].items()} - needed:
+        deleted(spark, f"{path}/v{v}/part={k}")
+
+
+def part_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
 
 
-def merged(stream: DataFrame, base: DataFrame, path: str) -> DataStreamWriter:
+def merged(stream: DataFrame, base: DataFrame, path: str, parts: int = 64) -> DataStreamWriter:
     """A writer that applies each batch of node changes to ``base``, kept in versions under ``path``.
 
     The versions of a feature that were applied stay beside it, so that an older one that comes in a later batch
@@ -45,21 +81,32 @@ def merged(stream: DataFrame, base: DataFrame, path: str) -> DataStreamWriter:
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now, last = current(spark, path)
+        found = notes(spark, path)
+        last = max(found, default=-1)
         if last >= number:
             return
-        if now is None:
-            now = base.withColumn("version", F.lit(0)).withColumn("is_deleted", F.lit(False))
         newest = batch.where("type = 'N'").groupBy("id").agg(F.max_by(F.struct("change", "version", "tags", "x", "y"), F.struct("version", (F.col("change") == "delete").cast("int"))).alias("c"))
+        newest = stored(newest, "stream")
+        touched = [r[0] for r in newest.select(part_of(parts)).distinct().collect()]  # so many parts at most
+        if found:
+            note = found[last]
+            now = read_parts(spark, path, note, touched)
+        else:  # the first batch writes all parts
+            note, touched = {}, list(range(parts))
+            now = base.select("id", "x", "y", "tags").withColumn("version", F.lit(0)).withColumn("is_deleted", F.lit(False))
         both = now.join(newest, "id", "full_outer")
         later = F.col("c").isNotNull() & (F.col("version").isNull() | (F.col("c.version") > F.col("version")))
         gone = F.coalesce(F.when(later, F.col("c.change") == "delete").otherwise(F.col("is_deleted")), F.lit(False))
 
-        def pick(name: str):
+        def pick(name: str) -> Column:
             return F.when(later & ~(F.col("c.change") == "delete"), F.coalesce(f"c.{name}", name)).otherwise(F.col(name)).alias(name)
 
         out = both.select("id", pick("x"), pick("y"), pick("tags"), F.when(later, F.col("c.version")).otherwise(F.col("version")).alias("version"), gone.alias("is_deleted"))
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        out.withColumn("part", part_of(parts)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
+        fs, at = file_system(spark, f"{path}/v{number}")
+        written = {s.getPath().getName().removeprefix("part="): number for s in fs.listStatus(at) if s.getPath().getName().startswith("part=")}
+        spark.createDataFrame([(json.dumps(note | written),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/notes/{number}")
+        expired(spark, path)
 
     return stream.writeStream.foreachBatch(apply)
 

@@ -128,3 +128,22 @@ def test_a_build_goes_on_where_it_broke_off(run, built, monkeypatch, tmp_path):
     assert run("build", tmp_path / "lib", built / "a.osm", "-k")[0] == 0 and (tmp_path / "lib/_work/features").exists()
     assert run("query", tmp_path / "lib", "*", "-f=count") == (0, "26\n")
     assert run("build", tmp_path / "lib2", built / "a.osm")[0] == 4
+
+
+def test_each_written_file_is_whole(spark, built, tmp_path):
+    from geolith.sinks import formats
+
+    f = library.read(spark, str(built / "lib")).where("coords is not null or type = 'N'").repartition(3)
+    for form in ("geojson", "xml", "csv", "wkt", "list"):
+        formats.write_text(f, form, str(tmp_path / form), "shop")
+        files = sorted((tmp_path / form).glob("part-*"))
+        assert len(files) == 3
+        for p in files:
+            if form == "geojson":
+                assert json.loads(p.read_text())["features"]
+            elif form == "xml":
+                assert len(ET.fromstring(p.read_text()))
+            elif form == "csv":
+                assert p.read_text().startswith("t,id,shop\n")
+        n = sum(len(re.findall(r"Feature\"|<node|<way|^[NW]|POINT|POLYGON|LINESTRING", p.read_text(), re.M)) for p in files)
+        assert n == 22, form

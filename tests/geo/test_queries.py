@@ -2,7 +2,7 @@ import pytest
 from compare import SF, available, same
 
 import __spark_entry__ as entry
-from geolith import queries
+from geolith import more_queries, queries  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not available(), reason="no test tables")
 

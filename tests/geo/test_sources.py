@@ -76,7 +76,7 @@ def pbf_file(path):
     path.write_bytes(blob("OSMHeader", header, False) + blob("OSMData", block) + blob("OSMData", field(1, table) + field(2, field(1, field(1, zz(40)) + field(8, zz(7)) + field(9, zz(-7)))), False))
 
 
-def test_pbf(spark, tmp_path):
+def test_pbf(spark, tmp_path, monkeypatch):
     p = tmp_path / "a.osm.pbf"
     pbf_file(p)
     t = pbf.frames(spark, str(p))
@@ -84,6 +84,11 @@ def test_pbf(spark, tmp_path):
     assert [tuple(r) for r in t["way_nodes"].orderBy("pos").collect()] == [(5, 1, 1), (5, 2, 2), (5, 3, -3), (5, 4, 1)]
     assert [tuple(r) for r in t["members"].orderBy("pos").collect()] == [(9, 1, "W", 5, "outer"), (9, 2, "N", 1, "")]
     assert tuple(pbf.header(spark, str(p)).first())[1:3] == ("prog", ["DenseNodes"])
+    # the same through Spark's readers, as for other stores
+    monkeypatch.setattr(pbf, "is_local", lambda path: False)
+    key = lambda r: (r.type, r.id)
+    assert sorted(pbf.read(spark, str(p)).collect(), key=key) == sorted(spark.read.format("osm_pbf").load(str(p)).collect(), key=key)
+    assert tuple(pbf.header(spark, str(p)).first())[1:3] == ("prog", ["DenseNodes"])
 
 
 def test_poly():

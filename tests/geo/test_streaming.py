@@ -29,6 +29,15 @@ def test_batches_are_merged_once(spark, tmp_path):
     assert {r.id: (r.x, r.tags) for r in stream.nodes(spark, out).collect()} == {1: (11, {"a": "2"}), 5: (5, {})}
     run()
     assert stream.nodes(spark, out).count() == 2
+    # only what a batch touches is written anew, and what nothing names goes
+    for k in range(4):
+        put(f"more{k}", [("modify", "N", 5, 10 + k, 1, {}, 50 + k, 5, t)])
+        run()
+    assert {r.id: r.x for r in stream.nodes(spark, out).collect()} == {1: 11, 5: 53}
+    found = stream.notes(spark, out)
+    assert len(found) == 2 and len(set(found[max(found)].values())) > 1
+    left = {(v.name, p.name) for v in (tmp_path / "out").glob("v*") for p in v.glob("part=*")}
+    assert left == {(f"v{v}", f"part={k}") for n in found.values() for k, v in n.items()}
 
 
 def test_rates(spark, tmp_path):
