@@ -58,11 +58,13 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch: rows of text are long, and both sides of the pipe hold whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def modest_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """At most so many rows, and about so many bytes, in an Arrow batch: rows of text are long, and both sides of the
+    pipe hold whole batches.  A longer row is a batch of its own.  The settings are the session's, as plans have none."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))  # with a default, get would not see the engine's own
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def give_back() -> None:

@@ -93,3 +93,11 @@ def test_components_of_chains_stars_and_cycles(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(201, 202), (202, 203), (203, 201), (300, 300), (None, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 160)}, 201: 201, 202: 201, 203: 201, 300: 300}
+
+
+def test_rows_larger_than_a_batch(spark):
+    long = "word " * 5_000_000
+    rows = [(1, long), (2, "short text"), (3, long + "x"), (4, long)]
+    got = {r.doc_id: r.component_id for r in simhash.query(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[1] == got[4] == got[3] == 1 and got[2] == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
