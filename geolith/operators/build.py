@@ -24,6 +24,14 @@ def way_geometry(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("way_id", F.transform("own", lambda c: c["node_id"]).alias("node_ids"), geo.filled(raw).alias("coords"), "n_known")
 
 
+def way_bounds(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way_id, bbox) of the ways with two nodes or more, one of them known: without their geometry, by partial minima."""
+    joined = way_nodes.join(nodes.select(F.col("id").alias("node_id"), "x", "y"), "node_id", "left")
+    box = F.struct(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    out = joined.groupBy("way_id").agg(F.count("*").alias("n"), F.count("x").alias("n_known"), box.alias("bbox"))
+    return out.where("n >= 2 and n_known > 0").select("way_id", "bbox")
+
+
 def way_features(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """(type, id, kind, is_area, tags, node_ids, coords, bbox, parents) of the ways with two nodes or more, one of them
     known.  ``up``: ``parents``; they are joined to the tags, by the key that the coordinates then come by."""

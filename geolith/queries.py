@@ -193,7 +193,7 @@ def project_lonlat(spark, d):
 
 @registered(with_(N, WN, WAYS, PT) + " SELECT w.id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM wf w JOIN pt ON w.id = way_id GROUP BY w.id")
 def way_bounds(spark, d):
-    return box_columns(way_rows(spark, d), "id")
+    return box_columns(build.way_bounds(X.way_nodes(spark, d), X.nodes(spark, d)).withColumnRenamed("way_id", "id"), "id")
 
 
 @registered(with_(WAYS) + " SELECT id, ring AS is_area, CASE WHEN ring THEN 'a' ELSE 'w' END AS kind FROM wf")
@@ -224,7 +224,8 @@ def way_area(spark, d):
 
 @registered(with_(N, WN, WAYS, PT, MEM, REACH) + " SELECT rel_id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM reach JOIN wf ON type = 'W' AND reach.id = wf.id JOIN pt ON wf.id = way_id GROUP BY rel_id")
 def relation_bounds(spark, d):
-    return box_columns(build.relation_bounds(X.members(spark, d), way_rows(spark, d)), "rel_id")
+    boxes = build.way_bounds(X.way_nodes(spark, d), X.nodes(spark, d)).select(F.lit("W").alias("type"), F.col("way_id").alias("id"), "bbox")
+    return box_columns(build.relation_bounds(X.members(spark, d), boxes), "rel_id")
 
 
 @registered(with_(REL, MEM) + " SELECT r.id, coalesce(bool_or(role = 'outer'), false) AS is_area FROM r LEFT JOIN m ON r.id = rel_id GROUP BY r.id")
