@@ -58,14 +58,19 @@ def equals(tags: Column | str, key: str, wanted: str) -> Column:
 
 def says_area(tags: Column | str, keys: dict[str, tuple[str, ...] | None] = AREA_KEYS) -> Column:
     """``area`` decides; without it, any listed key whose value passes its rule."""
-    area = value(tags, "area")
-    listed = F.lit(False)
-    for key, rule in keys.items():
-        ok = has(tags, key)
-        if rule:
-            inside = value(tags, key).isin(list(rule[1:]))
-            ok = ok & F.coalesce(inside if rule[0] == "only" else ~inside, F.lit(False))
-        listed = listed | ok
+    t = F.col(tags) if isinstance(tags, str) else tags
+    plain = [k for k, rule in keys.items() if rule is None]
+    most = [k for k, rule in keys.items() if rule and rule[0] == "not"]
+    bad = [f"{k}={v}" for k, rule in keys.items() if rule and rule[0] == "not" for v in rule[1:]]
+    good = [f"{k}={v}" for k, rule in keys.items() if rule and rule[0] == "only" for v in rule[1:]]
+
+    def passes(e: Column) -> Column:
+        pair = F.concat(e["key"], F.lit("="), e["value"])
+        return (e["value"] != "no") & (e["key"].isin(plain) | (e["key"].isin(most) & ~pair.isin(bad)) | pair.isin(good))
+
+    # one test for each tag that there is, not for each key that there may be
+    listed = F.coalesce(F.exists(F.map_entries(t), passes), F.lit(False))
+    area = value(t, "area")
     return F.when(area.isNotNull(), area != "no").otherwise(listed)
 
 
@@ -85,13 +90,15 @@ def categories(indexed: list[str]) -> dict[str, int]:
 
 def key_bits(tags: Column | str, category_of: dict[str, int]) -> Column:
     """Bit n - 1 is 1 if the tags have a key of category n with a value other than ``no``."""
-    bits = F.lit(0)
-    for n in sorted(set(category_of.values())):
-        any_key = F.lit(False)
-        for key in [k for k, c in category_of.items() if c == n]:
-            any_key = any_key | has(tags, key)
-        bits = bits + F.when(any_key, F.lit(1 << n - 1)).otherwise(F.lit(0))
-    return bits.cast("int")
+    t = F.col(tags) if isinstance(tags, str) else tags
+    if not category_of:
+        return F.lit(0)
+    bits = F.create_map(*[F.lit(x) for key, n in category_of.items() for x in (key, 1 << n - 1)])
+
+    def added(out: Column, e: Column) -> Column:
+        return F.when(e["value"] != "no", out.bitwiseOR(F.coalesce(F.try_element_at(bits, e["key"]), F.lit(0)))).otherwise(out)
+
+    return F.coalesce(F.aggregate(F.map_entries(t), F.lit(0), added), F.lit(0)).cast("int")
 
 
 def bucket_name(bits: Column, names: dict[int, str], separator: str = "/", none: str = "-") -> Column:
