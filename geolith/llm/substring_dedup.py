@@ -16,10 +16,11 @@ unlike hashes whatever their length, which sums of powers do not give.
 Neither step ships a row for each word.  Documents are dealt into chunks; a chunk sends each hash range one sorted,
 de-duplicated and delta-coded list of keys, and gets back one bit for each key.  A key is in a list at most once
 however often the chunk repeats it, so a passage that a third of all rows share loads no task more than another.
-Chunks and ranges come from the bytes of all texts (``chunk_bytes``, ``range_bytes``), and there are never fewer than
-the shuffle's partitions ask for.  Rows are dealt by id and text; where rows with an equal id and text make up more
-than a few chunks, the table is stored with a number for each row and dealt by that too.  Lost executors only cause
-parts of the plan to run again: every step depends on nothing but its input rows.
+Chunks and ranges come from the bytes of all texts (``chunk_bytes``, ``range_bytes``), with one for each of the
+shuffle's partitions at least.  A range gets a list from each chunk, so tables of many terabytes want larger ones.
+Rows are dealt by id and text; where rows with an equal id and text make up more than a few chunks, the table is stored
+with a number for each row and dealt by that too.  Lost executors only cause parts of the plan to run again: every step
+depends on nothing but its input rows.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D.  Null, empty and blank texts have no words and stay as they
 are, in no chunk.  Texts shorter than a window lose nothing.  A very long text is one row of one chunk.  Repeated rows
@@ -303,8 +304,8 @@ def remove_repeats(
     text_col: str = "text",
     id_col: str = "doc_id",
     window: int = 35,
-    chunks_per_partition: int = 4,
-    chunk_bytes: int = 32 << 20,
+    chunks_per_partition: int = 1,
+    chunk_bytes: int = 6 << 20,
     range_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(row, n_words, n_removed, kept_words, kept_text): ``row`` is the input row as a struct.
