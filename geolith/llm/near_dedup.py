@@ -4,15 +4,21 @@ A text's set has the XXH64 values of its ``shingle``-word shingles, ASCII letter
 words is one shingle; null, empty and blank texts have one empty shingle, so that they are copies of one another.
 
 1. *Copies.*  Texts with equal words are one node.
-2. *Candidates.*  MinHash with ``BANDS`` bands of ``ROWS`` values: nodes that agree in a band share a bucket.  A pair
-   with similarity s shares none with probability (1 - s ** ROWS) ** BANDS: 5.3e-6 at 0.8, less above.  Buckets with
-   the same members count once.
-3. *Heads.*  Every member of a bucket is compared with the bucket's least member, and those at ``least`` or more are
-   linked: a pair of texts is a row, so no bucket is in one task.
-4. *Rest.*  A bucket whose members are then all in one component is done.  In the others, the members outside the
-   bucket's largest component are compared with all members of other components, in blocks of ``BLOCK_TEXTS`` by
-   ``BLOCK_TEXTS`` texts.  So every pair that shares a bucket is compared or in one component already: no link between
-   components is lost, however large a bucket is.
+2. *Fingerprints.*  SimHash of ``BITS`` bits: a bit is 1 if it is 1 in over half of the mixed values of the set.  With
+   a similarity of 0.8, 15 of 100 bits differ: far too many for an index of 64 bits, hence the width.
+3. *Candidates.*  As in ``simhash``, by deletion variants: fingerprints share a *one-wildcard variant* of a segment if
+   that segment differs in one bit at most.  A segment is wildcarded in either half, so rows are dealt by (segment,
+   half that is whole, its bits) and the variants of the other half are grouped by equality in memory.  A pair at 0.8
+   shares none of ``SEGMENTS`` segments of ``WIDTH`` bits with probability 6e-6, less above.
+4. *Verification on bits.*  Members of a group are linked if ``MOST`` or fewer of ``CHECK_BITS`` more bits differ (a pair
+   at 0.8 has more with probability 5e-5).  Links are kept as stars, so no group gives its pairs; whoever reaches one
+   another is a cluster.
+5. *Heads.*  Every member of a cluster is compared with the cluster's least member, and those at ``least`` or more are
+   linked: a pair of texts is a row, so no cluster is in one task.
+6. *Rest.*  A cluster whose members are then all in one component is done.  In the others, the members outside the
+   cluster's largest component are compared with all members of other components, in blocks of ``BLOCK_TEXTS`` by
+   ``BLOCK_TEXTS`` texts.  So every pair in a cluster is compared or in one component already: no link between
+   components is lost, however large a cluster is.
 
 A very long text is one row and one set.  Repeated rows are copies like any others.  Other columns stay, whatever
 their names.  An empty table gives an empty result.
@@ -33,14 +39,19 @@ from pyspark.sql import types as T
 from .common import connected_components, fresh, give_back, modest_batches, stored
 
 SEED = 42
-ROWS, BANDS = 6, 40
-#: Shingles that meet all multipliers at once.
-BLOCK = 512
+SEGMENTS, WIDTH = 64, 20
+HALF = WIDTH // 2
+#: Bits beside the segments that verify a link, and how many of them may differ.
+CHECK_BITS, MOST = 128, 36
+BITS = SEGMENTS * WIDTH + CHECK_BITS
+#: Shingles that are counted at once, in bytes.
+BLOCK = 255
+#: Rows of the index that are solved at once, the members of a group beyond which it is walked, and pairs compared at once there.
+SOLVED, WALKED, SLAB = 1 << 17, 64, 1 << 14
 #: Texts on each side of a block that is compared in memory.
 BLOCK_TEXTS = 256
-_rng = np.random.default_rng(SEED)
-MULTIPLIERS = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1))[:, None]
-OFFSETS = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)[:, None]
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BITS // 64, dtype=np.uint64) | np.uint64(1)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -58,36 +69,156 @@ def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])), "<u8", n))
 
 
-def bands_of(own: np.ndarray) -> list[int]:
-    """The signed key of each band."""
-    x = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), BLOCK):
-        np.minimum(least, (x[k : k + BLOCK] * MULTIPLIERS + OFFSETS).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return [np.uint64(xxhash.xxh64_intdigest(rows[k].tobytes(), k)).astype(np.int64) for k in range(BANDS)]
+def fingerprint(own: np.ndarray) -> bytes:
+    """``BITS`` bits: the segments, then the bits that verify."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(own), BLOCK):
+        x = own[k : k + BLOCK, None] * MULTIPLIERS
+        x ^= x >> np.uint64(29)
+        x *= MIX
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own)).tobytes()
 
 
-def with_bands(docs: DataFrame, text_col: str, node_col: str, bands_col: str, shingle: int) -> DataFrame:
-    """``docs`` with the hash of the text's words and its band keys."""
+def checks_of(fps: np.ndarray) -> np.ndarray:
+    """(fingerprints, bytes) -> the bits that verify, as two columns."""
+    return np.ascontiguousarray(fps[:, -CHECK_BITS // 8 :]).view("<u8")
+
+
+def ids_of(checks: np.ndarray) -> np.ndarray:
+    """One value for the bits that verify; where two have the same, their clusters are one, which loses no link."""
+    return (checks[:, 0] ^ (checks[:, 1] * MIX)).view("<i8")
+
+
+def with_fingerprints(docs: DataFrame, text_col: str, node_col: str, id_col: str, fp_col: str, shingle: int) -> DataFrame:
+    """``docs`` with the hash of the text's words, its fingerprint and the value that stands for this in clusters."""
     modest_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(node_col, T.LongType()), T.StructField(bands_col, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(node_col, T.LongType()), T.StructField(id_col, T.LongType()), T.StructField(fp_col, T.BinaryType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands = np.empty(batch.num_rows, "<u8"), []
+            nodes, fps = np.empty(batch.num_rows, "<u8"), []
             for k, text in enumerate(batch.column(at).cast(pa.binary())):
                 words = words_of(text.as_py())
                 nodes[k] = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-                bands.append(bands_of(shingles(words, shingle)))
-            added = [pa.array(nodes.view("<i8")), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, node_col, bands_col])
+                fps.append(fingerprint(shingles(words, shingle)))
+            ids = ids_of(checks_of(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, BITS // 8)))
+            added = [pa.array(nodes.view("<i8")), pa.array(ids), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, node_col, id_col, fp_col])
             give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def index_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, bytes) -> (key, the bits that verify): for each segment and each half of it that is whole, a key
+    of the segment, the half and its bits, with the bits of the other half below."""
+    bits = np.unpackbits(fps[:, : SEGMENTS * WIDTH // 8], axis=1).reshape(len(fps), SEGMENTS, 2, HALF)
+    value = bits @ (1 << np.arange(HALF, dtype=np.int64))
+    part = np.arange(SEGMENTS * 2, dtype=np.int64).reshape(SEGMENTS, 2)
+    keys = ((part << HALF | value) << HALF) | value[:, :, ::-1]
+    return keys.reshape(-1), np.repeat(checks_of(fps), SEGMENTS * 2, axis=0)
+
+
+def walked(members: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """(a, b): links that join all linked members of one group."""
+    out, front, left = [np.empty((0, 2), np.int64)], members[:0], members
+    while len(left):
+        if not len(front):
+            front, left = left[:1], left[1:]
+            continue
+        n = max(1, SLAB // len(left))
+        some, front = front[:n], front[n:]
+        near = np.bitwise_count(checks[some][:, None] ^ checks[left]).sum(axis=2, dtype=np.int64) <= MOST
+        hit = near.any(axis=0)
+        out.append(np.stack((some[near.argmax(axis=0)[hit]], left[hit]), axis=1))
+        front, left = np.concatenate((front, left[hit])), left[~hit]
+    return np.concatenate(out)
+
+
+def solved(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the index, whole groups -> (a, b): each id that is linked to others, and the least of those it reaches here."""
+    group, rest = keys >> HALF, keys & (1 << HALF) - 1
+    ends: list[np.ndarray] = []
+    for i in range(HALF):  # the variants without bit i
+        variant = (group << HALF) | (rest >> i + 1 << i) | (rest & (1 << i) - 1)
+        order = np.argsort(variant, kind="stable")
+        variant = variant[order]
+        edge = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1], [True])))
+        sizes = np.diff(edge)
+        for k in np.flatnonzero(sizes > WALKED):
+            ends.append(walked(order[edge[k] : edge[k + 1]], checks))
+        small = np.repeat(sizes <= WALKED, sizes)
+        variant, order = variant[small], order[small]
+        at = np.arange(len(variant))
+        for d in range(1, WALKED):
+            at = at[at + d < len(variant)]
+            at = at[variant[at] == variant[at + d]]  # whoever has no member d places on has none further on
+            if not len(at):
+                break
+            a, b = order[at], order[at + d]
+            near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= MOST
+            ends.append(np.stack((a[near], b[near]), axis=1))
+    pairs = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
+    if not len(pairs):
+        return np.empty(0, "<i8"), np.empty(0, "<i8")
+    ids, same = np.unique(ids_of(checks), return_inverse=True)
+    a, b = np.divmod(np.unique(same[pairs[:, 0]] * len(ids) + same[pairs[:, 1]]), len(ids))
+    least, before = np.arange(len(ids)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        least = least[least]
+    far = least != np.arange(len(ids))
+    return ids[far], ids[least[far]]
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(fp) -> (a, b): links between ids, enough to connect all that reach one another."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys, checks = index_rows(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8))
+                columns = [keys, *checks.view("<i8").T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "c1", "c2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: np.ndarray) -> pa.RecordBatch:
+            found = solved(rows[0], np.ascontiguousarray(rows[1:].T).view("<u8"))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+        held, n, enough = [], 0, SOLVED
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            n += batch.num_rows
+            if n >= enough:
+                rows = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(rows[0], rows[0, -1] >> HALF << HALF))
+                if last:
+                    yield made(rows[:, :last])
+                held, n = [rows[:, last:].copy()], rows.shape[1] - last
+                enough = max(SOLVED, 2 * n)  # a group that goes on is not put together again for each batch
+        if n:
+            yield made(np.concatenate(held, axis=1))
+        give_back()
+
+    rows = fps.mapInArrow(index, "key long, c1 long, c2 long")
+    return rows.repartition(F.shiftright("key", HALF)).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(node, id, fp) -> (key, head, node): the members of each cluster of two or more."""
+    roots = connected_components(links(nodes.select("fp").distinct())).select(F.col("node").alias("id"), "root")
+    # stored, so that the join of one very large cluster can be split
+    placed = stored(nodes.select("node", "id").join(roots, "id", "left").select(F.coalesce("root", "id").alias("key"), "node"), "near-dedup-ids")
+    heads = stored(placed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "near-dedup-heads")
+    return placed.join(heads, "key").select("key", "head", "node")
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """(key, values) of each key, from (key, value) rows in order of keys."""
     key, held = None, []
@@ -105,17 +236,6 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, held
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(node, bands) -> (key, head, node): the members of each bucket of two or more, buckets with equal members once.
-
-    A bucket is known by its size, its least member and 128 bits of its members' hashes.
-    """
-    keyed = nodes.select(F.posexplode("bands").alias("k", "part"), "node").select(F.xxhash64("k", "part").alias("key"), "node")
-    of = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
-    once = stored(of.where("n > 1").groupBy("head", "n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "head"), "near-dedup-heads")
-    return keyed.join(once, "key").select("key", "head", "node")
-
-
 def similar(own: np.ndarray, other: np.ndarray, least: float) -> bool:
     if min(len(own), len(other)) < least * max(len(own), len(other)) - 1e-9:
         return False
@@ -124,7 +244,7 @@ def similar(own: np.ndarray, other: np.ndarray, least: float) -> bool:
 
 
 def head_links(members: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """(key, head, node) and (node, text) -> (a, b): members linked to the head of a bucket of theirs."""
+    """(key, head, node) and (node, text) -> (a, b): members linked to the head of their cluster."""
     pairs = members.where("node != head").select("head", "node").distinct()
     of_node = pairs.join(texts, "node").withColumnRenamed("text", "own")
     both = of_node.join(texts.select(F.col("node").alias("head"), "text"), "head").select("head", "node", "text", "own")
@@ -163,10 +283,10 @@ def across(small: list[tuple[int, np.ndarray]], rest: list[tuple[int, np.ndarray
 
 
 def rest_links(members: DataFrame, roots: DataFrame, texts: DataFrame, least: float, shingle: int, block: int) -> DataFrame:
-    """(a, b): roots that links within buckets join.  ``roots``: (node, root) of the nodes that are not their own."""
+    """(a, b): roots that links within clusters join.  ``roots``: (node, root) of the nodes that are not their own."""
     placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = stored(placed, "near-dedup-placed")
-    # partial counts, so that a bucket that very many texts share is no task of its own
+    # partial counts, so that a cluster of very many texts is no task of its own
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     open_keys = stored(open_keys, "near-dedup-open")
     counts = placed.join(open_keys, "key").groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -198,14 +318,15 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with a null id are kept only where no row of their component has an id.
     """
-    node_col, bands_col, row_col = fresh(docs, "node", "bands", "row_number")
-    marked = with_bands(docs, text_col, node_col, bands_col, shingle).withColumn(row_col, F.monotonically_increasing_id())
+    node_col, key_col, fp_col, row_col = fresh(docs, "node", "fp_id", "fingerprint", "row_number")
+    marked = with_fingerprints(docs, text_col, node_col, key_col, fp_col, shingle).withColumn(row_col, F.monotonically_increasing_id())
     marked = stored(marked, "near-dedup")
     slim = marked.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(node_col).alias("node"))
     nodes = slim.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"))
     nodes = stored(nodes, "near-dedup-nodes")
     heads = nodes.select(F.col("row").alias(row_col))
-    members = stored(buckets(marked.join(heads, row_col, "left_semi").select(F.col(node_col).alias("node"), F.col(bands_col).alias("bands"))), "near-dedup-buckets")
+    distinct = stored(marked.join(heads, row_col, "left_semi").select(F.col(node_col).alias("node"), F.col(key_col).alias("id"), F.col(fp_col).alias("fp")), "near-dedup-fingerprints")
+    members = stored(clusters(distinct), "near-dedup-clusters")
     needed = members.select("node").distinct().join(nodes, "node").select("node", F.col("row").alias(row_col))
     texts = stored(marked.select(row_col, F.col(text_col).alias("text")).join(needed, row_col).select("node", "text"), "near-dedup-texts")
     first = stored(connected_components(head_links(members, texts, least, shingle)), "near-dedup-roots")

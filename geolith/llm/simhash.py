@@ -203,7 +203,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``docs``.
 
     With a ``similarity``, texts are linked that share that much of their shingles; their fingerprints lie so many
-    bits apart that no index of deletion variants finds them, so candidates come from ``near_dedup``.  With None,
+    bits apart that 64 bits do not do: ``near_dedup`` takes the same index over wider ones.  With None,
     fingerprints at ``max_bits`` or fewer are.  Rows with a null id are kept only where no row of their component has
     an id.
     """

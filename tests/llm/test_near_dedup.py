@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from geolith.llm import near_dedup
@@ -82,3 +83,53 @@ def test_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", *range(10)), (2, "A b c d e f", *range(10))], ["doc_id", "text", *names])
     (row,) = near_dedup.first_of_each(docs).collect()
     assert tuple(row) == (1, "a b c d e f", *range(10))
+
+
+def test_candidates_of_the_stage_are_deletion_variants_of_fingerprints(spark, monkeypatch):
+    """The stage finds links through the index of fingerprints, and links of other segments than equal ones."""
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    words = [f"word{rng.randrange(9000)}" for _ in range(200)]
+    near = [*words[:60], "other", *words[61:140], "more", *words[141:]]  # similarity 0.9
+    texts = {1: " ".join(words), 2: " ".join(near), 3: "no copy", 4: "NO copy"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen, links = [], near_dedup.links
+    monkeypatch.setattr(near_dedup, "links", lambda fps: seen.append(fps) or links(fps))
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert seen and seen[0].columns == ["fp"]
+    monkeypatch.setattr(near_dedup, "links", lambda fps: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == [1, 2, 3]
+
+
+def test_solved_links_equal_brute_force():
+    """Segments with one bit deleted, in small groups and in walked ones, against all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, (5, near_dedup.BITS), dtype=np.uint8)
+    fps = base[np.concatenate((np.zeros(150, int), rng.integers(1, 5, 60)))] ^ (rng.random((210, near_dedup.BITS)) < 0.09).astype(np.uint8)
+    fps = np.concatenate((fps, rng.integers(0, 2, (200, near_dedup.BITS), dtype=np.uint8)))
+    keys, checks = near_dedup.index_rows(np.packbits(fps, axis=1))
+    order = np.argsort(keys, kind="stable")
+    a, b = near_dedup.solved(keys[order], checks[order])
+    ids = near_dedup.ids_of(near_dedup.checks_of(np.packbits(fps, axis=1))).tolist()
+
+    def parts(pairs):
+        at = {x: x for x in ids}
+
+        def root(x):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for x, y in pairs:
+            x, y = root(x), root(y)
+            at[max(x, y)] = min(x, y)
+        return [root(x) for x in ids]
+
+    segment = fps[:, : near_dedup.SEGMENTS * near_dedup.WIDTH].reshape(len(fps), near_dedup.SEGMENTS, -1)
+    check = fps[:, -near_dedup.CHECK_BITS :]
+    want = []
+    for i in range(len(fps)):
+        shares = ((segment != segment[i]).sum(axis=2) <= 1).any(axis=1)
+        want += [(ids[i], ids[j]) for j in np.flatnonzero(shares & ((check != check[i]).sum(axis=1) <= near_dedup.MOST))]
+    assert parts(zip(a.tolist(), b.tolist())) == parts(want)
+    assert len(set(parts(want))) < 260
