@@ -91,11 +91,15 @@ def tag_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def added_and_dropped(old: DataFrame, new: DataFrame, key: str = "rel_id") -> DataFrame:
-    """(key, added, dropped): distinct members that came and went, as type and id."""
-    a, b = (m.groupBy(key).agg(F.collect_set(F.struct("type", "id")).alias(n)) for m, n in ((old, "a"), (new, "b")))
-    none = F.array().cast("array<struct<type:string,id:bigint>>")
-    both = a.join(b, key, "full_outer").select(key, F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    return both.select(key, F.array_sort(F.array_except("b", "a")).alias("added"), F.array_sort(F.array_except("a", "b")).alias("dropped"))
+    """(key, added, dropped): distinct members that came and went, as type and id.
+
+    Members are compared as rows: lists of structs are compared each with each, the square of a large relation.
+    """
+    rows = old.select(key, "type", "id", F.lit(1).alias("was"), F.lit(0).alias("now")).union(new.select(key, "type", "id", F.lit(0), F.lit(1)))
+    each = rows.groupBy(key, "type", "id").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+    member = F.struct("type", "id")
+    lists = [F.sort_array(F.collect_list(F.when(F.col(a) < F.col(b), member))).alias(n) for n, a, b in (("added", "was", "now"), ("dropped", "now", "was"))]
+    return each.groupBy(key).agg(*lists)
 
 
 def raw_of(features: DataFrame, index: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -165,6 +165,18 @@ def test_changes(spark, raw):
     assert got[21].added == [("N", 8)] and got[21].dropped == [("N", 7)] and got[22].added == []
 
 
+def test_members_of_a_large_relation(spark):
+    """No list of members is compared with another, each with each."""
+    n = 100_000
+    m = spark.range(n).select(F.lit(1).alias("rel_id"), F.when(F.col("id") % 2 == 0, "N").otherwise("W").alias("type"), "id")
+    old, new = m.where(f"id < {n - 10}").union(m.where("id < 5")), m.where("id >= 20")
+    out = changes.added_and_dropped(old, new)
+    assert "array_except" not in out._jdf.queryExecution().optimizedPlan().toString()
+    (got,) = out.collect()
+    assert [tuple(r) for r in got.added] == sorted(("NW"[k % 2], k) for k in range(n - 10, n))
+    assert [tuple(r) for r in got.dropped] == sorted(("NW"[k % 2], k) for k in range(20))
+
+
 def test_library(spark, features, tmp_path):
     path, other = str(tmp_path / "lib"), str(tmp_path / "set")
     guid = library.write(features, path)
