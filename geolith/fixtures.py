@@ -30,17 +30,20 @@ def nodes(spark: SparkSession, sf_dir: str, duplicates: bool = False) -> DataFra
 
 
 def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(way_id, pos, node_id); every third way with three nodes or more ends where it begins."""
-    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    """(way_id, pos, node_id); every third way with three nodes or more ends where it begins.
+
+    Items alike in number and part are the same node, so no more columns need to order them.
+    """
     by_way = W.partitionBy("l_orderkey")
     own = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") + 1).alias("way_id"),
-        F.row_number().over(by_way.orderBy(*order)).alias("pos"),
+        F.row_number().over(by_way.orderBy("l_linenumber", "l_partkey")).alias("pos"),
         (F.col("l_partkey") + 1).alias("node_id"),
         F.count("*").over(by_way).cast("int").alias("n"),
     )
-    ring = own.where((F.col("pos") == 1) & (F.col("way_id") % 3 == 0) & (F.col("n") >= 3))
-    return own.select("way_id", "pos", "node_id").union(ring.select("way_id", F.col("n") + 1, "node_id"))
+    closing = (F.col("pos") == 1) & (F.col("way_id") % 3 == 0) & (F.col("n") >= 3)
+    places = F.when(closing, F.array("pos", F.col("n") + 1)).otherwise(F.array("pos"))
+    return own.select("way_id", F.explode(places).alias("pos"), "node_id")
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:

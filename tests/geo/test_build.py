@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geolith import model
+from geolith import fixtures, model
 from geolith.functions import geo
 from geolith.functions import tags as T
 from geolith.operators import build, changes, closure, query, stats
@@ -198,6 +198,15 @@ def test_library(spark, features, tmp_path):
     assert {r.error for r in library.check(back.union(back.where("id = 1")).where("id != 22")).collect()} == {"feature twice", "member without feature", "parent without feature"}
 
 
+def test_way_nodes_come_from_one_scan(spark, tmp_path):
+    """Ends of rings need no second read; equal numbers are in the order of parts."""
+    rows = [(2, 1, 7, 0), (2, 1, 5, 9), (2, 3, 6, 0), (3, 2, 8, 0), (3, 1, 9, 0), (3, 1, 9, 1), (5, 1, 4, 0), (5, 2, 3, 0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = fixtures.way_nodes(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(3, 1, 6), (3, 2, 8), (3, 3, 7), (3, 4, 6), (4, 1, 10), (4, 2, 10), (4, 3, 9), (6, 1, 5), (6, 2, 4)]
+
+
 def test_whole_update(spark, raw, features):
     schema = f"change string, type string, id long, version int, {TAGS}, x long, y long, node_ids array<long>, members {model.MEMBERS}"
     rows = [
