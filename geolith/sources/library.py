@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from geolith import model
 from geolith.operators import changes
 from geolith.operators.build import deepest_tile, spatial_order
-from geolith.work import exists
+from geolith.work import deleted, exists, stored, stored_at
 
 COARSE = 6
 PARTS = ["kind_part", "key_part", "tile_part"]
@@ -89,11 +89,16 @@ def write(
     page_rows: int = 1024,
 ) -> str:
     """The library's id.  Rows are dealt by kind, key bucket and tile (of ``tiles``, else coarse ones) and sorted along
-    a space-filling curve, so that partitions, row groups and pages (of ``page_rows`` rows) prune."""
+    a space-filling curve, so that partitions, row groups and pages (of ``page_rows`` rows) prune.
+
+    The features are made once and stored: their buckets, the ranges, the rows and the index each read them.
+    """
     spark = features.sparkSession
     guid = guid or str(uuid.uuid4())
-    placed = in_tiles(features, tiles) if tiles is not None else features.withColumn("tile_part", coarse_tile())
-    placed = placed.withColumns({"kind_part": F.col("kind"), "key_part": key_part(features, most_buckets, least_features)})
+    placed = in_tiles(features, stored(tiles, "tiles")) if tiles is not None else features.withColumn("tile_part", coarse_tile())
+    placed, work_path = stored_at(placed.select(*model.COLUMNS, "tile_part"), "features")
+    own = placed
+    placed = placed.withColumns({"kind_part": F.col("kind"), "key_part": key_part(own, most_buckets, least_features)})
     curve = F.when(F.col("x").isNotNull(), spatial_order(F.col("x"), F.col("y")))
     ordered = placed.repartitionByRange(*PARTS, curve).sortWithinPartitions(*PARTS, curve).select(*model.COLUMNS, *PARTS)
     ordered.write.mode(mode).option("parquet.page.row.count.limit", page_rows).partitionBy(*PARTS).parquet(_table(path, "features"))
@@ -101,6 +106,7 @@ def write(
     if updatable:
         nodes = features.where("type = 'W' and not is_missing").select(F.col("id").alias("way_id"), F.posexplode("node_ids").alias("pos", "node_id"))
         changes.by_way(nodes).write.mode(mode).parquet(_table(path, "way_nodes"))
+    deleted(spark, work_path)
     _write_properties(spark, path, {"guid": guid, **(extra or {})})
     return guid
 

@@ -198,6 +198,20 @@ def test_library(spark, features, tmp_path):
     assert {r.error for r in library.check(back.union(back.where("id = 1")).where("id != 22")).collect()} == {"feature twice", "member without feature", "parent without feature"}
 
 
+def test_library_makes_its_features_once(spark, raw, features, tmp_path):
+    """What the buckets, the ranges, the rows and the index of a library read is a stored table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "once")
+    library.write(features.mapInArrow(passed, features.schema), path, tiles=build.tile_pyramid(build.node_density(raw["nodes"]), min_density=1))
+    assert seen.value == features.count()
+
+
 def test_way_nodes_come_from_one_scan(spark, tmp_path):
     """Ends of rings need no second read; equal numbers are in the order of parts."""
     rows = [(2, 1, 7, 0), (2, 1, 5, 9), (2, 3, 6, 0), (3, 2, 8, 0), (3, 1, 9, 0), (3, 1, 9, 1), (5, 1, 4, 0), (5, 2, 3, 0)]
