@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geolith import model
-from geolith.operators import changes
 from geolith.operators.build import deepest_tile, spatial_order
 from geolith.work import deleted, exists, stored, stored_at
 
@@ -104,8 +103,8 @@ def write(
     ordered.write.mode(mode).option("parquet.page.row.count.limit", page_rows).partitionBy(*PARTS).parquet(_table(path, "features"))
     covers(raw(spark, path)).write.mode(mode).parquet(_table(path, "parts"))
     if updatable:
-        nodes = features.where("type = 'W' and not is_missing").select(F.col("id").alias("way_id"), F.posexplode("node_ids").alias("pos", "node_id"))
-        changes.by_way(nodes).write.mode(mode).parquet(_table(path, "way_nodes"))
+        index = own.where("type = 'W' and not is_missing and size(node_ids) > 0").select(F.col("id").alias("way_id"), "node_ids")
+        index.orderBy("way_id").write.mode(mode).parquet(_table(path, "way_nodes"))
     deleted(spark, work_path)
     _write_properties(spark, path, {"guid": guid, **(extra or {})})
     return guid

@@ -208,8 +208,9 @@ def test_library_makes_its_features_once(spark, raw, features, tmp_path):
             yield b
 
     path = str(tmp_path / "once")
-    library.write(features.mapInArrow(passed, features.schema), path, tiles=build.tile_pyramid(build.node_density(raw["nodes"]), min_density=1))
+    library.write(features.mapInArrow(passed, features.schema), path, updatable=True, tiles=build.tile_pyramid(build.node_density(raw["nodes"]), min_density=1))
     assert seen.value == features.count()
+    assert {(r.way_id, tuple(r.node_ids)) for r in library.way_nodes(spark, path).collect()} == {(r.id, tuple(r.node_ids)) for r in features.where("type = 'W' and not is_missing").collect()}
 
 
 def test_way_nodes_come_from_one_scan(spark, tmp_path):
