@@ -218,18 +218,32 @@ def load(spark: SparkSession, path: str, source: str, tiles: list[str] | None =
 
 
 def check(features: DataFrame) -> DataFrame:
-    """(error, n) of the table's integrity: doubles, short ways, members and parents that nothing is."""
-    ids = features.select("type", "id")
-    members = features.where("type = 'R'").select(F.col("id").alias("rel_id"), F.explode("members").alias("m")).select("rel_id", "m.type", "m.id")
-    up = features.select(F.explode("parents").alias("id")).select(F.lit("R").alias("type"), "id").distinct()
-    parts = [
-        ids.groupBy("type", "id").count().where("count > 1").select(F.lit("feature twice").alias("error")),
-        features.where("type = 'W' and not is_missing and size(node_ids) < 2").select(F.lit("way with fewer than two nodes")),
-        features.where("type = 'W' and not is_missing and size(node_ids) != size(coords)").select(F.lit("way without a place for each node")),
-        members.select("type", "id").distinct().join(ids, ["type", "id"], "left_anti").select(F.lit("member without feature")),
-        up.join(ids, ["type", "id"], "left_anti").select(F.lit("parent without feature")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("error").agg(F.count("*").alias("n"))
+    """(error, n) of the table's integrity: doubles, short ways, members and parents that nothing is.
+
+    One pass: features, members and parents are rows of one shape, counted by type and id in one aggregate.
+    """
+    way = (F.col("type") == "W") & ~F.col("is_missing")
+    short, bare = way & (F.size("node_ids") < 2), way & (F.size("node_ids") != F.size("coords"))
+
+    def row(type_: Column, id_: Column, what: str) -> Column:
+        return F.struct(type_.alias("type"), id_.alias("id"), F.lit(what).alias("what"))
+
+    own = F.array(row(F.col("type"), F.col("id"), "f"))
+    below = F.when(F.col("type") == "R", F.transform("members", lambda m: row(m["type"], m["id"], "m")))
+    above = F.transform("parents", lambda p: row(F.lit("R"), p, "p"))
+    none = F.array().cast("array<struct<type:string,id:bigint,what:string>>")
+    each = features.select(short.alias("short"), bare.alias("bare"), F.explode(F.concat(own, F.coalesce(below, none), F.coalesce(above, none))).alias("e"))
+    is_own = F.col("e.what") == "f"
+    found = each.groupBy("e.type", "e.id").agg(
+        F.count_if(is_own).alias("n"), F.count_if(is_own & F.col("short")).alias("short"), F.count_if(is_own & F.col("bare")).alias("bare"), F.bool_or(F.col("e.what") == "m").alias("is_member"), F.bool_or(F.col("e.what") == "p").alias("is_parent")
+    )
+    nothing = (F.col("n") == 0) | F.col("type").isNull() | F.col("id").isNull()  # a null is no feature
+    counts = {
+        "feature twice": F.count_if(F.col("n") > 1),
+        "way with fewer than two nodes": F.sum("short"),
+        "way without a place for each node": F.sum("bare"),
+        "member without feature": F.count_if(F.col("is_member") & nothing),
+        "parent without feature": F.count_if(F.col("is_parent") & nothing),
+    }
+    total = found.agg(F.array(*[F.struct(F.lit(name).alias("error"), n.alias("n")) for name, n in counts.items()]).alias("c"))
+    return total.select(F.inline("c")).where("n > 0")

@@ -198,6 +198,17 @@ def test_library(spark, features, tmp_path):
     assert {r.error for r in library.check(back.union(back.where("id = 1")).where("id != 22")).collect()} == {"feature twice", "member without feature", "parent without feature"}
 
 
+def test_library_check_is_one_pass(spark, features):
+    """All errors, nulls among them, from one read of the table."""
+    way = features.where("id = 10")
+    short = way.withColumn("node_ids", F.array(F.lit(1).cast("long")))
+    loose = way.withColumns({"id": F.lit(77).cast("long"), "parents": F.array(F.lit(None).cast("long"), F.lit(20).cast("long"))})
+    rows = features.where("id not in (10, 22)").union(short).union(loose).union(short)
+    out = library.check(rows)
+    assert {r.error: r.n for r in out.collect()} == {"feature twice": 1, "way with fewer than two nodes": 2, "way without a place for each node": 2, "member without feature": 1, "parent without feature": 2}
+    assert "Join" not in library.check(spark.createDataFrame([], features.schema))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_library_makes_its_features_once(spark, raw, features, tmp_path):
     """What the buckets, the ranges, the rows and the index of a library read is a stored table."""
     seen = spark.sparkContext.accumulator(0)
