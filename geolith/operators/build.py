@@ -21,7 +21,8 @@ def way_geometry(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     joined = way_nodes.join(places, "node_id", "left")
     rows = joined.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", "x", "y"))).alias("own"), F.count("x").alias("n_known"))
     raw = F.transform("own", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
-    return rows.select("way_id", F.transform("own", lambda c: c["node_id"]).alias("node_ids"), geo.filled(raw).alias("coords"), "n_known")
+    coords = F.when(F.col("n_known") == F.size("own"), raw).otherwise(geo.filled(raw))  # most ways have no gaps to look for
+    return rows.select("way_id", F.col("own.node_id").alias("node_ids"), coords.alias("coords"), "n_known")
 
 
 def way_bounds(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
